@@ -31,7 +31,7 @@ def keep(df: DataFrame, key: str, bitmap: DataFrame, bits: int) -> DataFrame:
     place = _place(F.col(key), bits)
     low = place.bitwiseAND((1 << _ROW_BITS) - 1)
     byte = F.conv(F.hex(F.substring("_bitmap", (F.shiftright(low, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    hit = F.shiftright(byte, low.bitwiseAND(7).cast("int")).bitwiseAND(1) == 1
+    hit = F.call_function("shiftright", byte, low.bitwiseAND(7).cast("int")).bitwiseAND(1) == 1
     return df.withColumn("_b", F.shiftright(place, _ROW_BITS)).join(
         F.broadcast(bitmap.withColumnRenamed("_bucket", "_b")), "_b").where(hit).drop("_b", "_bitmap")
 

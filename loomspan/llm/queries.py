@@ -6,15 +6,33 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import bpe, token_files
 from .ngram_jaccard import ngram_jaccard_groups
 from .scratch import read_table
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_groups(read_table(spark, sf_dir, "documents"))
 
 
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(read_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = token_files.write_token_files(read_table(spark, sf_dir, "documents"), tokenizer_path())
+    return token_files.read_token_files(manifest).drop("ids")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
+    "op9_bpe": op9_bpe,
+    "op10_token_files": op10_token_files,
 }
 ORACLES: dict[str, str] = {}
