@@ -12,7 +12,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-ARROW_ROWS = "512"
+ARROW_ROWS, ARROW_BYTES = "8192", "2m"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,8 +25,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the rows of one Arrow batch, since a row may hold a very long text."""
+    """Bound the bytes and rows of one Arrow batch, since a row may hold a very long text."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
