@@ -21,8 +21,12 @@ def _place(key: Column, bits: int) -> Column:
 
 def build(keys: DataFrame, key: str, bits: int) -> DataFrame:
     """(bucket, bitmap), at most 2**(bits-15) rows of 4 kB."""
-    place = keys.select(_place(F.col(key), bits).alias("p"))
-    return place.groupBy(F.shiftright("p", _ROW_BITS).alias("_bucket")).agg(
+    return of_places(keys.select(_place(F.col(key), bits).alias("p")))
+
+
+def of_places(places: DataFrame) -> DataFrame:
+    """(bucket, bitmap) of places that are given as column p."""
+    return places.groupBy(F.shiftright("p", _ROW_BITS).alias("_bucket")).agg(
         F.bitmap_construct_agg(F.col("p").bitwiseAND((1 << _ROW_BITS) - 1)).alias("_bitmap"))
 
 
