@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, substring_dedup, token_files, warc
+from . import bpe, hash_forest, substring_dedup, token_files, warc
 from .ngram_jaccard import ngram_jaccard_groups
 from .scratch import read_table
 
@@ -21,6 +22,10 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_groups(read_table(spark, sf_dir, "documents"))
 
 
+def op4_hash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hash_forest.nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digests(read_table(spark, sf_dir, "documents"))
 
@@ -41,6 +46,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
+    "op4_hash_forest": op4_hash_forest,
     "op5_substring_dedup": op5_substring_dedup,
     "op7_warc": op7_warc,
     "op9_bpe": op9_bpe,
