@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hash_forest, substring_dedup, token_files, warc
+from . import bpe, hash_forest, substring_dedup, subwords, token_files, warc
 from .ngram_jaccard import ngram_jaccard_groups
 from .scratch import read_table
 
@@ -30,6 +30,10 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digests(read_table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subwords.quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = warc.write_archives(read_table(spark, sf_dir, "pages"))
     return warc.read_archives(warc.normalise(archives)).drop("url", "html")
@@ -48,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op4_hash_forest": op4_hash_forest,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_quality": op6_quality,
     "op7_warc": op7_warc,
     "op9_bpe": op9_bpe,
     "op10_token_files": op10_token_files,
