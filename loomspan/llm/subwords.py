@@ -1,9 +1,10 @@
 """Quality classifier: supervised subword embeddings.
 
 A word is its own hash and the hashes of its character n-grams (bytes of
-``<word>``); each hash has a learned vector.  A document's vector is the mean over
-its words of the mean over each word's features, and a softmax layer on it gives
-the score.  Vectors and layer are trained together by numpy stochastic gradient
+``<word>``); each hash has a learned vector, and so has the mark of a word that
+stood one to four words before.  A document's vector is the mean over its words of
+the mean over each word's features and of its marks, and a softmax layer on it
+gives the score.  Vectors and layer are trained together by numpy stochastic gradient
 descent (Adagrad) on a sample of labelled rows, which is bounded by a parameter
 and balanced by class; the classes' true shares are put back into the bias.
 
@@ -28,6 +29,8 @@ from .scratch import Table, small_batches
 
 BUCKET_BITS, DIMENSIONS = 17, 12
 GRAMS = (3, 4)
+#: A word that equals the one so many words before has a mark; marks come after the hash buckets.
+LAGS = (1, 2, 3, 4)
 #: Labelled rows of each class that a model is fitted on at most.
 SAMPLE = 1500
 EPOCHS, BATCH, RATE = 4, 16, 0.3
@@ -62,6 +65,16 @@ def features(words: Words, start: np.ndarray, length: np.ndarray) -> tuple[np.nd
     return np.concatenate(owners), np.concatenate(buckets).astype(np.int64)
 
 
+def marks(words: Words) -> np.ndarray:
+    """How many words of each document (axis 0) equal the one LAGS words before (axis 1)."""
+    out = np.zeros((words.docs, len(LAGS)), np.int64)
+    doc = words.doc_of()
+    for i, lag in enumerate(LAGS):
+        same = (words.hashes[lag:] == words.hashes[:-lag]) & (doc[lag:] == doc[:-lag])
+        out[:, i] = np.bincount(doc[lag:][same], minlength=words.docs)
+    return out
+
+
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, label, buckets, weights): each document's mean of features as a sparse vector."""
     for batch in batches:
@@ -73,12 +86,14 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bucket, count = bucket[order], np.bincount(owner, minlength=len(start))
             first = np.cumsum(count) - count
             ids, weights = [], []
-            for a, b in zip(words.ptr[:-1], words.ptr[1:]):
+            repeats = marks(words)
+            for i, (a, b) in enumerate(zip(words.ptr[:-1], words.ptr[1:])):
                 own, times = np.unique(which[a:b], return_counts=True)
                 share = np.repeat(times / count[own] / max(1, b - a), count[own])
                 found, back = np.unique(gather(bucket, first[own], count[own]), return_inverse=True)
-                ids.append(found.astype(np.uint32).tobytes())
-                weights.append(np.bincount(back, share, len(found)).astype(np.float32).tobytes())
+                lags = np.flatnonzero(repeats[i])
+                ids.append(np.r_[found, (1 << BUCKET_BITS) + lags].astype(np.uint32).tobytes())
+                weights.append(np.r_[np.bincount(back, share, len(found)), repeats[i, lags] / max(1, b - a)].astype(np.float32).tobytes())
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(ids, pa.binary()), pa.array(weights, pa.binary())],
                                              names=["doc_id", "label", "ids", "weights"])
 
@@ -101,7 +116,7 @@ class Model:
 
     def __init__(self, bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, shares: np.ndarray, seed: int = 7):
         rng = np.random.default_rng(seed)
-        self.vectors = rng.uniform(-1, 1, (1 << BUCKET_BITS, DIMENSIONS)).astype(np.float32) / DIMENSIONS
+        self.vectors = rng.uniform(-1, 1, ((1 << BUCKET_BITS) + len(LAGS), DIMENSIONS)).astype(np.float32) / DIMENSIONS
         self.layer = np.zeros((DIMENSIONS, 2), np.float32)
         self.bias = np.zeros(2, np.float32)
         seen = [np.full_like(x, 1e-6) for x in (self.vectors, self.layer, self.bias)]
@@ -166,7 +181,8 @@ def _scores(told):
                 owner, bucket = features(words, start, length)
                 word = np.bincount(owner, number[bucket], len(start)) / np.maximum(1, np.bincount(owner, minlength=len(start)))
                 total = np.r_[0, np.cumsum(word[which])]
-                out = bias + (total[words.ptr[1:]] - total[words.ptr[:-1]]) / np.maximum(1, words.counts)
+                whole = total[words.ptr[1:]] - total[words.ptr[:-1]] + marks(words) @ number[1 << BUCKET_BITS:]
+                out = bias + whole / np.maximum(1, words.counts)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(1 / (1 + np.exp(-out)))], names=["doc_id", "score"])
 
     return run
