@@ -27,10 +27,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .arrowtext import batch_words, chunks, mix, signed
 from .scratch import Table, small_batches
-from .subwords import distinct_words, fold, judged, sampled_texts
+from .subwords import THRESHOLD, distinct_words, fold, judged, sampled_texts
 
 #: Labelled rows of each class that the lexicon and its scores are learned from at most.
 SAMPLE = 4000
@@ -214,9 +215,9 @@ def _quoted(raw: list[str], at: int) -> bool:
     return (opens and closes) or any(plain(w) in SAYING for w in before + after)
 
 
-def matches(part: pa.RecordBatch, lexicon: Lexicon):
+def matches(part: pa.RecordBatch, lexicon: Lexicon, text: str = "text"):
     """(row, spelling, term, distance, quoted) of every match in a batch, the nearest term of each word."""
-    words = batch_words(part)
+    words = batch_words(part, text)
     start, length, which = distinct_words(words)
     texts = _texts(words, start, length)
     word, term, distance = lexicon.match(texts)
@@ -291,27 +292,27 @@ def fit(documents: DataFrame, labelled: DataFrame, size: int = SAMPLE) -> Model:
     return Model(terms, rates)
 
 
-def _scores(told):
+def _scores(told, text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = told.value
         lexicon = Lexicon(model.terms)
         for batch in batches:
-            for part in chunks(batch):
+            for part in chunks(batch, text):
                 out = np.full(part.num_rows, model.rates[""])
-                for row, spelling, term, distance, quoted in matches(part, lexicon):
+                for row, spelling, term, distance, quoted in matches(part, lexicon, text):
                     out[row] = max(out[row], model.chance(spelling, lexicon.terms[term], distance, quoted))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out)], names=["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out)], names=[*part.schema.names, "score"])
 
     return run
 
 
 def score(documents: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, score) of every row, from its whole text."""
+    """All columns and the score of every row, from its whole text; a column of that name gives way."""
     spark = documents.sparkSession
     small_batches(spark)
     told = spark.sparkContext.broadcast(model)
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")) \
-        .mapInArrow(_scores(told), "doc_id long, score double")
+    rows = documents.drop(*[c for c in documents.columns if c.lower() == "score"]).withColumn("text", F.col("text").cast("string"))
+    return rows.mapInArrow(_scores(told, "text"), T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())]))
 
 
 def training_labels(labels: DataFrame) -> DataFrame:
@@ -319,6 +320,12 @@ def training_labels(labels: DataFrame) -> DataFrame:
     return labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").alias("label")).where(fold(F.col("doc_id"), 4) != 2)
 
 
+def without_toxic(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents that score below the threshold, with their own columns."""
+    return score(documents, fit(documents, training_labels(labels))).where(F.col("score") < THRESHOLD).select(*documents.columns)
+
+
 def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted); fold 2 of 4 is held out."""
-    return judged(score(documents, fit(documents, training_labels(labels))), fold(F.col("doc_id"), 4) == 2)
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return judged(score(rows, fit(documents, training_labels(labels))), fold(F.col("doc_id"), 4) == 2)
