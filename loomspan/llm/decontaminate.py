@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
+from .scratch import Table
 
 WORDS = 5
 NUM, DEN = 3, 4
@@ -50,18 +51,21 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, similarity, start, n_words, hamming): the nearest window of every document and item that it holds."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words_of(F.col("text").cast("string")).alias("w")) \
         .where("item_id is not null").where(F.size("w") >= WORDS).distinct()
+    items = Table(items, "items").df
     items = items.withColumn("item", F.xxhash64("item_id", "w")).withColumn("len", F.size("w"))
     anchors = items.select("len", F.col("w").alias("iw"), F.posexplode(shingles_of(F.col("w"))).alias("q", "h")) \
         .select("h", "q", "len", F.get("iw", F.col("q") - 1).alias("before")).distinct()
     rows = anchors.count()
 
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), words_of(F.col("text").cast("string")).alias("w")).where("doc_id is not null")
-    found = docs.select("doc_id", "w", shingles_of(F.col("w")).alias("hs")).select("doc_id", "w", F.posexplode("hs").alias("p", "h")) \
+    # the outer form, as Spark would else filter on the array below the projection that makes it, and make it twice
+    found = docs.select("doc_id", "w", shingles_of(F.col("w")).alias("hs")).select("doc_id", "w", F.posexplode_outer("hs").alias("p", "h")) \
         .join(_small(anchors, rows), "h") \
         .where((F.col("q") == 0) | (F.col("p") == 0) | (F.get("w", F.col("p") - 1) != F.col("before")))  # where a run of shared shingles begins
     start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.size("w") - F.col("len")))
     windows = found.select("doc_id", "len", start.alias("start"), F.slice("w", start + 1, F.col("len")).alias("ww")).distinct()
     windows = windows.withColumn("fp", simhash.of_words(F.col("ww"))).withColumn("window", F.xxhash64("doc_id", "start", "ww"))
+    windows = Table(windows, "windows").df
 
     def indexed(df: DataFrame) -> DataFrame:
         return df.withColumn("key", F.explode(simhash.block_keys(F.col("fp"), BLOCKS, 1)))
