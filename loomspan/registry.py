@@ -6,5 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .model import PRELUDE, Bundle
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def register(name: str, oracle: str | None = None, ctes: str = ""):
+    """Register a function of a Bundle; the oracle is a SELECT over the model's common table expressions."""
+    def put(plan: Callable[[Bundle], DataFrame]) -> Callable[[Bundle], DataFrame]:
+        QUERIES[name] = lambda spark, sf_dir: plan(Bundle(spark, sf_dir))
+        if oracle:
+            ORACLES[name] = PRELUDE + (", " + ctes if ctes else "") + oracle
+        return plan
+
+    return put
+
+
+from .plans import changes, knowledge, operation_log, quality_checks, text_queries, timeline  # noqa: E402, F401
