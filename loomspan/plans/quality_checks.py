@@ -1 +1,115 @@
-"""To be filled."""
+"""Validators and audits over the model; some run over tables with injected faults."""
+
+from pyspark.sql import functions as F
+
+from ..model import Bundle
+from ..operators import validators
+from ..registry import register
+
+FAULTS = """bad AS (SELECT message_id, CASE WHEN conv_id % 15 = 0 AND "sequence" = 1 THEN 'ws_other' ELSE workspace_id END workspace_id, CASE WHEN conv_id % 21 = 0 AND "sequence" = 0 THEN 'conversation_none' ELSE conversation_id END conversation_id,
+  "sequence", text, CASE WHEN conv_id % 12 = 0 AND "sequence" = 2 THEN reverse(text_sha256) ELSE text_sha256 END text_sha256, role FROM messages
+  UNION ALL SELECT message_id, workspace_id, conversation_id, "sequence", text, text_sha256, role FROM messages WHERE conv_id % 25 = 0 AND "sequence" = 0)"""
+
+
+def faulty(b: Bundle):
+    """Messages with foreign workspaces, unresolved conversations, wrong hashes and repeated ids."""
+    def at(mod, seq):
+        return (F.col("conv_id") % mod == 0) & (F.col("sequence") == seq)
+
+    m = b.messages
+    bad = m.select("message_id", F.when(at(15, 1), "ws_other").otherwise(F.col("workspace_id")).alias("workspace_id"), F.when(at(21, 0), "conversation_none").otherwise(F.col("conversation_id")).alias("conversation_id"),
+                   "sequence", "text", F.when(at(12, 2), F.reverse("text_sha256")).otherwise(F.col("text_sha256")).alias("text_sha256"), "role")
+    return bad.unionByName(m.where(at(25, 0)).select(*bad.columns))
+
+
+@register("v1_invariants", """SELECT 'duplicate_id' code, message_id record_id, CAST(count(*) AS VARCHAR) message FROM bad GROUP BY 2 HAVING count(*) > 1
+UNION ALL SELECT 'hash_mismatch', message_id, text_sha256 FROM bad WHERE sha256(text) <> text_sha256
+UNION ALL SELECT CASE WHEN c.conversation_id IS NULL THEN 'reference_unresolved' ELSE 'cross_workspace_reference' END, b.message_id, b.conversation_id FROM bad b LEFT JOIN captures c ON c.conversation_id = b.conversation_id
+  WHERE c.conversation_id IS NULL OR c.workspace_id <> b.workspace_id""", FAULTS)
+def invariants(b: Bundle):
+    bad = faulty(b)
+    return validators.union(validators.duplicates(bad, "message_id"), validators.wrong_hash(bad, "message_id", "text", "text_sha256"),
+                            validators.unresolved(bad, "message_id", "conversation_id", b.captures, "conversation_id"))
+
+
+@register("v2_sound_model", "SELECT 'none' code, '' record_id, '' message WHERE false")
+def sound_model(b: Bundle):
+    return validators.union(
+        validators.duplicates(b.blocks, "content_block_id"), validators.wrong_hash(b.blocks, "content_block_id", "value", "sha256"), validators.not_contiguous(b.messages, "conversation_id", "sequence", "message_id"),
+        validators.unresolved(b.edges, "provenance_edge_id", "content_block_id", b.blocks, "content_block_id"), validators.unresolved(b.approved, "approved_knowledge_id", "approval_event_id", b.reviews, "human_review_event_id"))
+
+
+@register("v3_completion_errors", """SELECT capture_version_id, concat_ws(',', CASE WHEN n_messages < 3 THEN 'too_few_messages' END, CASE WHEN verification_status = 'failed' THEN 'capture_failed' END,
+CASE WHEN NOT EXISTS (SELECT 1 FROM candidates k WHERE k.conversation_id = c.conversation_id AND k.decision IS NOT NULL) THEN 'no_decision' END) errors FROM captures c""")
+def completion_errors(b: Bundle):
+    """One ordered list of error codes for each generation, from one-row aggregates."""
+    decided = b.candidates.groupBy("conversation_id").agg(F.count("decision").alias("decided"))
+    codes = F.array_compact(F.array(F.when(F.col("n_messages") < 3, "too_few_messages"), F.when(F.col("verification_status") == "failed", "capture_failed"),
+                                    F.when(F.coalesce("decided", F.lit(0)) == 0, "no_decision")))
+    return b.captures.join(decided, "conversation_id", "left").select("capture_version_id", F.array_join(codes, ",").alias("errors"))
+
+
+@register("v8_trust_states", "SELECT capture_version_id, CASE verification_status WHEN 'complete' THEN 'trusted' WHEN 'partial' THEN 'repaired' WHEN 'failed' THEN 'retired' ELSE 'quarantined' END state FROM captures")
+def trust_states(b: Bundle):
+    s = F.col("verification_status")
+    return b.captures.select("capture_version_id", F.when(s == "complete", "trusted").when(s == "partial", "repaired").when(s == "failed", "retired").otherwise("quarantined").alias("state"))
+
+
+@register("v12_illegal_transitions", """SELECT 'illegal_transition' code, message_id record_id, p || '>' || role message FROM (SELECT *, lag(role) OVER (PARTITION BY conversation_id ORDER BY "sequence") p FROM messages)
+WHERE p IS NOT NULL AND (p || '>' || role) NOT IN ('user>assistant', 'assistant>user', 'system_visible>user')""")
+def illegal_transitions(b: Bundle):
+    from pyspark.sql import Window
+
+    steps = b.messages.withColumn("p", F.lag("role").over(Window.partitionBy("conversation_id").orderBy("sequence"))).where("p is not null")
+    return validators.illegal_transitions(steps, "message_id", "p", "role", {("user", "assistant"), ("assistant", "user"), ("system_visible", "user")})
+
+
+@register("v16_exactly_one_version", "SELECT 'exactly_one_required' code, message_id record_id, CAST(n AS VARCHAR) message FROM (SELECT message_id, CAST(conv_id % 2 = 0 AS INTEGER) + CAST(conv_id % 3 = 0 AS INTEGER) n FROM messages) WHERE n <> 1")
+def exactly_one_version(b: Bundle):
+    m = b.messages.select("message_id", F.when(F.col("conv_id") % 2 == 0, F.lit("s")).alias("source_version_id"), F.when(F.col("conv_id") % 3 == 0, F.lit("c")).alias("capture_version_id"))
+    return validators.not_exactly_one(m, "message_id", "source_version_id", "capture_version_id")
+
+
+@register("p25_value_domains", "SELECT 'value_not_allowed' code, message_id record_id, role message FROM messages WHERE role NOT IN ('user', 'assistant')")
+def value_domains(b: Bundle):
+    return validators.outside_domain(b.messages, "message_id", "role", ["user", "assistant"])
+
+
+CHECKS = """checks AS (SELECT conversation_id, 'has_messages' check_id, CASE WHEN n_messages > 2 THEN 'pass' ELSE 'fail' END status, 'material' severity FROM captures
+UNION ALL SELECT conversation_id, 'even_turns', CASE WHEN n_messages % 2 = 0 THEN 'pass' ELSE 'fail' END, 'warning' FROM captures
+UNION ALL SELECT conversation_id, 'branches', CASE WHEN conv_id % 4 = 0 THEN 'not_observed' ELSE 'pass' END, 'warning' FROM captures)"""
+
+
+@register("v22_g17_verdicts", """SELECT conversation_id, CASE WHEN bool_or(status = 'fail' AND severity = 'material') THEN 'failed' WHEN bool_or(status = 'fail') THEN 'needs_review' WHEN bool_or(status = 'not_observed') THEN 'partial' ELSE 'complete' END status
+FROM checks GROUP BY 1""", CHECKS)
+def verdicts(b: Bundle):
+    c = b.captures
+
+    def check(name, status, severity):
+        return c.select("conversation_id", F.lit(name).alias("check_id"), status.alias("status"), F.lit(severity).alias("severity"))
+
+    rows = validators.union(
+        check("has_messages", F.when(F.col("n_messages") > 2, "pass").otherwise("fail"), "material"), check("even_turns", F.when(F.col("n_messages") % 2 == 0, "pass").otherwise("fail"), "warning"),
+        check("branches", F.when(F.col("conv_id") % 4 == 0, "not_observed").otherwise("pass"), "warning"))
+    return validators.verdict(rows, "conversation_id")
+
+
+@register("g6_duplicate_statements", """SELECT k, n, ids FROM (SELECT trim(regexp_replace(lower(value), '\\s+', ' ', 'g')) k, count(*) n, sha256(string_agg(content_block_id, ',' ORDER BY content_block_id)) ids FROM blocks GROUP BY 1) WHERE n > 1""")
+def duplicate_statements(b: Bundle):
+    from ..functions.textops import normalized
+
+    g = b.blocks.withColumn("k", normalized(F.col("value"))).groupBy("k").agg(F.count("*").alias("n"), F.expr("sha2(listagg(content_block_id, ',') WITHIN GROUP (ORDER BY content_block_id), 256)").alias("ids"))
+    return g.where("n > 1").select("k", "n", "ids")
+
+
+@register("g20_quality_audit", """SELECT (SELECT count(*) FROM candidates) candidates, (SELECT count(*) FROM candidates c WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.knowledge_candidate_id = c.knowledge_candidate_id)) without_evidence,
+(SELECT count(*) FROM (SELECT 1 FROM blocks WHERE block_kind <> 'empty' GROUP BY lower(value) HAVING count(*) > 1)) repeated_statements""")
+def quality_audit(b: Bundle):
+    bare = b.candidates.join(b.edges.select("knowledge_candidate_id"), "knowledge_candidate_id", "left_anti").agg(F.count("*").alias("without_evidence"))
+    repeated = b.blocks.where("block_kind <> 'empty'").groupBy(F.lower("value")).agg(F.count("*").alias("n")).where("n > 1").agg(F.count("*").alias("repeated_statements"))
+    return b.candidates.agg(F.count("*").alias("candidates")).crossJoin(bare).crossJoin(repeated)  # single rows
+
+
+@register("v18_inventory_integrity", "SELECT 'duplicate_id' code, url record_id, CAST(count(*) AS VARCHAR) message FROM pages GROUP BY 2 HAVING count(*) > 1")
+def inventory_integrity(b: Bundle):
+    return validators.duplicates(b.raw("pages"), "url")
