@@ -1,8 +1,9 @@
 """SimHash fingerprints and pigeonhole blocks as Spark expressions; no Python runs on the executors.
 
 A fingerprint has 63 bits.  Bits of word hashes are added up three at a time in
-lanes of 21 bits, so 21 sums give all 63 counts, and a set of words may have up to
-2,097,151 of them (with more, lanes run over: equal bags still have equal fingerprints).
+lanes of 21 bits, so 21 sums give all 63 counts, and all three are compared with
+half the number of words at once.  A set may have up to 262,143 words (with more,
+lanes run over: equal sets still have equal fingerprints).
 """
 
 from __future__ import annotations
@@ -22,17 +23,19 @@ def lane(hashed: Column, i: int) -> Column:
 
 
 def from_sums(sums: list[Column], n: Column) -> Column:
-    """The fingerprint of n word hashes, given the sums of their lanes: a bit is set where more than half have it."""
+    """The fingerprint of n word hashes, given the sums of their lanes: a bit is set where more than half have it.
+
+    2**20 + 2 * count - (n + 1) has bit 20 set just where 2 * count > n, in every lane by itself.
+    """
+    most = F.lit(_MASK << (LANES - 1)) - (n.cast("long") + 1) * F.lit(_MASK)
     out = F.lit(0).cast("long")
     for i, s in enumerate(sums):
-        for k in range(3):
-            count = F.shiftrightunsigned(s, k * LANES).bitwiseAND((1 << LANES) - 1)
-            out = out + F.when(count * 2 > n, F.lit(1 << (i + k * LANES))).otherwise(F.lit(0).cast("long"))
+        out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned(most + s * 2, LANES - 1).bitwiseAND(F.lit(_MASK)), i))
     return out
 
 
 def of_words(words: Column) -> Column:
-    """The fingerprint of an array of words (for few rows: each sum is a loop over the array)."""
+    """The fingerprint of an array of words, each as often as it is there (for few rows: each sum is a loop over the array)."""
     hashes = F.transform(words, lambda w: F.xxhash64(w))
 
     def total(i: int) -> Column:

@@ -131,8 +131,8 @@ class Lexicon:
                 stays = new.min(1) <= k
                 if stays.any():
                     stack.append((child, depth + 1, alive[stays], new[stays]))
-        word, term, distance = (np.concatenate(x).astype(np.int64) for x in zip(*found))
-        return word, term, distance
+        none = np.zeros(0, np.int64)
+        return tuple(np.concatenate([none, *x]).astype(np.int64) for x in zip(*found)) if found else (none, none, none)
 
 
 def _forms(word: str) -> list[str]:

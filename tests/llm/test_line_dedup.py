@@ -22,7 +22,7 @@ def levenshtein(a, b):
 
 
 def fingerprints(spark, lines):
-    rows = spark.createDataFrame([(x,) for x in lines], "line string").select("line", simhash.of_words(F.split("line", " ")).alias("fp")).collect()
+    rows = spark.createDataFrame([(x,) for x in lines], "line string").select("line", simhash.of_words(F.array_distinct(F.split("line", " "))).alias("fp")).collect()
     return {r.line: r.fp for r in rows}
 
 
@@ -101,6 +101,16 @@ def test_odd_tables(spark):
         (0, "a b", 0), (1, "a b\n\n---", 1), (2, "c\n---", 1), (2, "c\n---", 1)]
 
 
+def test_fingerprints_equal_counting(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(50)]
+    rows = [" ".join(rng.choices(words, k=rng.randrange(1, 60))) for _ in range(50)]
+    hashes = {r.w: r.h for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
+    for line, fp in fingerprints(spark, rows).items():
+        own = [hashes[w] for w in dict.fromkeys(line.split())]
+        assert fp == sum(1 << i for i in range(63) if 2 * sum(h >> i & 1 for h in own) > len(own))
+
+
 def test_blocks_meet_all_within_the_radius(spark):
     rng = random.Random(1)
     rows = []
