@@ -129,3 +129,12 @@ def excerpts(b: Bundle):
 def message_projection(b: Bundle):
     plain = ~F.col("text").rlike(r"[:@\\]|[A-Za-z0-9_-]{40,}|[-_]|(?i)(code|key|token)")
     return b.messages.where(plain).select("message_id", textops.derived(F.col("text"), 200).alias("excerpt"), F.length("text").cast("long").alias("n"))
+
+
+@register("p12_full_text")
+def full_text(b: Bundle):
+    """Blocks that have all lexemes of a query; the stemmer has no SQL counterpart."""
+    from ..functions.lexemes import english_lexemes, matches
+
+    return b.blocks.select("content_block_id", english_lexemes("value").alias("lexemes")).where(matches(F.col("lexemes"), "reading the lines")) \
+        .select("content_block_id", F.size("lexemes").alias("n_lexemes"))
