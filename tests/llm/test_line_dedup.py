@@ -101,6 +101,23 @@ def test_odd_tables(spark):
         (0, "a b", 0), (1, "a b\n\n---", 1), (2, "c\n---", 1), (2, "c\n---", 1)]
 
 
+def test_edits_equal_the_distance_of_whole_lines(spark):
+    rng = random.Random(12)
+    rows = []
+    for _ in range(150):
+        a = rng.choices(["a", "bb", "ccc", "ab"], k=rng.randrange(1, 9))
+        b = list(a)
+        for _ in range(rng.randrange(4)):
+            b[rng.randrange(len(b)):][:1] = []
+            at = rng.randrange(len(b) + 1)
+            b = rng.choice([b[:at] + ["bb"] + b[at:], b[:at] + b[at + 1:] or ["a"], b[:at] + ["cc"] + b[at + 1:]])
+        rows.append((a, b, rng.randrange(0, 6)))
+    df = spark.createDataFrame(rows, "a array<string>, b array<string>, most int")
+    for r in df.select("a", "b", "most", line_dedup._edits(F.col("a"), F.col("b"), F.col("most")).alias("d")).collect():
+        d = levenshtein(" ".join(r.a), " ".join(r.b))
+        assert r.d == (d if d <= r.most else -1), r
+
+
 def test_fingerprints_equal_counting(spark):
     rng = random.Random(8)
     words = [f"w{i}" for i in range(50)]
