@@ -278,9 +278,13 @@ def fit(documents: DataFrame, labelled: DataFrame, size: int = SAMPLE) -> Model:
     labelled = labelled.where("doc_id is not null and label in (0, 1)")
     sampled = Table(without_copies(sampled_texts(documents, labelled, size)), "sample")
     terms = learn_lexicon(sampled.df)
+    # the sample holds the classes about evenly; a document counts as many times as its class is commoner among all labelled rows
+    share, here = (np.array([found.get(k, 0) for k in (0, 1)], float) for found in (
+        dict(df.groupBy("label").count().collect()) for df in (labelled, sampled.df)))
+    clean_weight, toxic_weight = share / np.maximum(here, 1) * here.sum() / max(1, share.sum())
     counted = sampled.df.mapInArrow(_group_counts(spark.sparkContext.broadcast(terms)), "key string, label int, n long") \
         .groupBy("key").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("toxic"), F.sum("n").alias("n"))
-    groups = {r.key: (r.toxic, r.n) for r in counted.toLocalIterator()}
+    groups = {r.key: (toxic_weight * r.toxic, toxic_weight * r.toxic + clean_weight * (r.n - r.toxic)) for r in counted.toLocalIterator()}
     toxic, n = groups.pop("", (0, 0))
     rates = {"": (toxic + 0.02) / (n + 1)}
     for wide in ("d", "t", "s"):
