@@ -41,3 +41,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     found = now.df
     return found.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         found.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def joined(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """Edges (a, b) of known components and further links: stars, on which `components` needs few rounds."""
+    return groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links.select("a", "b"))
