@@ -3,8 +3,8 @@
 Windows of an item's own length are cut from the documents where a five-word
 shingle of the item aligns them (a window that shares no shingle has similarity
 0).  A window's SimHash, over its words, meets those of all items of that length
-through a multi-index of 12 blocks, which finds every fingerprint within 11 bits;
-candidates are then verified by the exact weighted similarity of their shingle
+through a multi-index of one block more than the radius, which finds every fingerprint within it: RADIUS bits, and
+LONG_RADIUS in items of over LONG words, where as similar windows differ in more bits; candidates are then verified by the exact weighted similarity of their shingle
 bags: the sum over shingles of the lesser count, over that of the greater, is at
 least 0.75.  Only DataFrame functions are used.
 
@@ -26,8 +26,7 @@ from .scratch import Table
 WORDS = 5
 NUM, DEN = 3, 4
 #: Bits that fingerprints of an item and a window may differ in, and the blocks that find all such.
-RADIUS = 11
-BLOCKS = RADIUS + 1
+RADIUS, LONG_RADIUS, LONG = 14, 22, 60
 #: Benchmark rows (shingles, blocks) up to which they are broadcast; beyond, both sides are shuffled.
 BROADCAST_ROWS = 400_000
 
@@ -54,26 +53,34 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = Table(items, "items").df
     items = items.withColumn("item", F.xxhash64("item_id", "w")).withColumn("len", F.size("w"))
     anchors = items.select("len", F.col("w").alias("iw"), F.posexplode(shingles_of(F.col("w"))).alias("q", "h")) \
-        .select("h", "q", "len", F.get("iw", F.col("q") - 1).alias("before")).distinct()
+        .select("h", "q", "len", F.xxhash64(F.get("iw", F.col("q") - 1)).alias("before")).distinct()
     rows = anchors.count()
 
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), words_of(F.col("text").cast("string")).alias("w")).where("doc_id is not null")
+    # Of a position, a hash and the word before are enough; the words are joined back to the hits where they would be shuffled with every shingle.
+    small = rows <= BROADCAST_ROWS
+    placed = docs.select("doc_id", F.size("w").alias("n"), (F.col("w") if small else F.xxhash64("w")).alias("carried"), shingles_of(F.col("w")).alias("hs"),
+                         F.transform("w", lambda x: F.xxhash64(x)).alias("own"))
     # the outer form, as Spark would else filter on the array below the projection that makes it, and make it twice
-    found = docs.select("doc_id", "w", shingles_of(F.col("w")).alias("hs")).select("doc_id", "w", F.posexplode_outer("hs").alias("p", "h")) \
-        .join(_small(anchors, rows), "h") \
-        .where((F.col("q") == 0) | (F.col("p") == 0) | (F.get("w", F.col("p") - 1) != F.col("before")))  # where a run of shared shingles begins
-    start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.size("w") - F.col("len")))
-    windows = found.select("doc_id", "len", start.alias("start"), F.slice("w", start + 1, F.col("len")).alias("ww")).distinct()
+    found = placed.select("doc_id", "n", "carried", F.posexplode_outer(F.transform("hs", lambda h, i: F.struct(h.alias("h"), F.get("own", i - 1).alias("previous")))).alias("p", "at")) \
+        .select("doc_id", "n", "carried", "p", "at.*").join(_small(anchors, rows), "h") \
+        .where((F.col("q") == 0) | (F.col("p") == 0) | (F.col("previous") != F.col("before")))  # where a run of shared shingles begins
+    start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.col("n") - F.col("len")))
+    found = found.select("doc_id", F.col("carried").alias("w"), "len", start.alias("start"))
+    if not small:
+        found = found.distinct().withColumnRenamed("w", "h").join(docs.withColumn("h", F.xxhash64("w")), ["doc_id", "h"])
+    windows = found.select("doc_id", "len", "start", F.slice("w", F.col("start") + 1, F.col("len")).alias("ww")).distinct()
     windows = windows.withColumn("fp", simhash.of_words(F.col("ww"))).withColumn("window", F.xxhash64("doc_id", "start", "ww"))
     windows = Table(windows, "windows").df
 
     def indexed(df: DataFrame) -> DataFrame:
-        return df.withColumn("key", F.explode(simhash.block_keys(F.col("fp"), BLOCKS, 1)))
+        fp = F.col("fp")
+        return df.withColumn("key", F.explode(F.when(F.col("len") <= LONG, simhash.block_keys(fp, RADIUS + 1, 1)).otherwise(simhash.block_keys(fp, LONG_RADIUS + 1, 1))))
 
     own = items.select("item", "item_id", "len", "w", simhash.of_words(F.col("w")).alias("ifp"))
     index = indexed(own.select("item", "len", F.col("ifp").alias("fp"))).withColumnRenamed("fp", "ifp")
     pairs = indexed(windows.select("window", "len", "fp")).join(_small(index, rows), ["len", "key"]) \
-        .where(simhash.distance(F.col("fp"), F.col("ifp")) <= RADIUS) \
+        .where(simhash.distance(F.col("fp"), F.col("ifp")) <= F.when(F.col("len") <= LONG, RADIUS).otherwise(LONG_RADIUS)) \
         .select("window", "item", simhash.distance(F.col("fp"), F.col("ifp")).alias("hamming")).distinct()
 
     def bag(words: str) -> Column:

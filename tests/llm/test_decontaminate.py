@@ -96,3 +96,32 @@ def test_odd_tables(spark):
     assert sorted(r.doc_id or 0 for r in kept) == [0, 2] and len(kept[0]) == 5
     assert decontaminate.contaminated(empty(spark), table(spark, items)).count() == 0
     assert decontaminate.contaminated(docs, table(spark, [])).count() == 0
+
+
+def test_long_items_with_a_block_replaced_are_found(spark):
+    """Items of 60 to 400 words of which one block is replaced, as long as similarity allows: nine in ten or more are found."""
+    rng = random.Random(21)
+    items, docs = [], []
+    for i in range(150):
+        n = (60, 100, 200, 400)[i % 4]
+        words = [f"w{rng.randrange(4000)}" for _ in range(n)]
+        items.append((i, " ".join(words)))
+        shingles = n - 4
+        k = int(shingles - 2 * shingles * 0.75 / 1.75) - 4  # replacing k words in a row loses k + 4 shingles of each side
+        at = rng.randrange(1, n - k)
+        docs.append((i, " ".join(["before"] * 9 + words[:at] + [f"x{rng.randrange(4000)}" for _ in range(k)] + words[at + k:] + ["after"] * 9)))
+    for (_, item), (_, doc) in zip(items, docs):
+        n = len(item.split())
+        assert similarity(bag(doc.split()[9:9 + n]), bag(item.split())) >= 0.75
+    found = got(decontaminate.contaminated(documents(spark, docs), table(spark, items)))
+    recall = {n: sum((i, i) in found for i in range(150) if (60, 100, 200, 400)[i % 4] == n) / len([i for i in range(150) if (60, 100, 200, 400)[i % 4] == n]) for n in (60, 100, 200, 400)}
+    print("recall by length:", recall)
+    assert min(recall.values()) >= 0.9 and set(found) <= {(i, i) for i in range(150)}
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(2)
+    item = " ".join(f"w{rng.randrange(900)}" for _ in range(30))
+    text = " ".join(f"w{rng.randrange(900)}" for _ in range(150_000))
+    docs = documents(spark, [(1, text), (2, text + " " + item), (3, item)])
+    assert set(got(decontaminate.contaminated(docs, table(spark, [(7, item)])))) == {(2, 7), (3, 7)}
