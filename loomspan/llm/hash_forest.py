@@ -3,8 +3,8 @@
 The rows are dealt into blocks, and each block holds a forest: for every tree the
 long hash strings (signs of random projections) of its rows as one sorted array.
 A query descends every tree to its longest matching prefix, which is a range of
-the sorted array, and then ascends all trees together, one depth after another,
-taking in the rows of ever shorter prefixes.  It stops ascending once it has k
+the sorted array, and then ascends all trees together, bit by bit from the longest of these,
+taking in (and scoring) the rows that a shorter prefix adds.  It stops ascending once it has k
 candidates and the chance that all trees missed a row as near as its k-th best,
 (1 - p ** depth) ** trees, is at most MISS; p is the chance that one bit agrees.
 At depth 0 all rows are candidates, so nothing is capped: a query without near
@@ -30,12 +30,12 @@ from pyspark.sql import functions as F
 from .scratch import small_batches
 
 TREES, BITS = 12, 32
-#: Prefix lengths, from the longest; the trees ascend through them together.
-DEPTHS = (32, 20, 12, 8, 5, 3, 2, 1, 0)
 MISS = 0.03
+#: Vectors of gathered rows that are held at once.
+SCORED_AT_ONCE = 1 << 15
 #: Rows of a block: at least and at most, and the number of blocks aimed at between.
 LEAST_ROWS, MOST_ROWS, BLOCKS = 2048, 200_000, 4096
-QUERIES_AT_ONCE = 256
+QUERIES_AT_ONCE = 64
 _SEED = 20_261
 
 
@@ -53,6 +53,8 @@ class Forest:
         self.norm = np.sqrt((self.x * self.x).sum(1))
         self.planes = np.random.default_rng(_SEED).standard_normal((vectors.shape[1], TREES * BITS))
         strings = self.strings(self.x)
+        #: Cosines that searches have taken.
+        self.scored = 0
         self.order = np.argsort(strings, axis=0, kind="stable")
         self.sorted = np.take_along_axis(strings, self.order, 0)
 
@@ -61,45 +63,74 @@ class Forest:
         signs = (x @ self.planes > 0).reshape(len(x), TREES, BITS)
         return (signs << np.arange(BITS - 1, -1, -1, dtype=np.int64)).sum(2)
 
-    def reached(self, strings: np.ndarray, depth: int) -> np.ndarray:
-        """Which rows (axis 1) share a prefix of this depth with each query (axis 0) in some tree."""
-        out = np.zeros((len(strings), len(self.ids)), bool)
+    def longest(self, strings: np.ndarray) -> np.ndarray:
+        """The longest prefix that any row shares with each query (axis 0) in each tree (axis 1): one of the two neighbours in sorted order has it."""
+        out = np.zeros(strings.shape, np.int64)
+        for t in range(TREES):
+            at = np.searchsorted(self.sorted[:, t], strings[:, t])
+            for near in (np.maximum(at - 1, 0), np.minimum(at, len(self.ids) - 1)):
+                _, bits = np.frexp((strings[:, t] ^ self.sorted[near, t]).astype(np.float64))
+                out[:, t] = np.maximum(out[:, t], BITS - bits)
+        return out
+
+    def ranges(self, strings: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """In each tree, the range of rows that share a prefix of this depth with each query."""
         low = strings >> (BITS - depth) << (BITS - depth)
+        first, last = np.empty_like(low), np.empty_like(low)
+        for t in range(TREES):
+            first[:, t] = np.searchsorted(self.sorted[:, t], low[:, t])
+            last[:, t] = np.searchsorted(self.sorted[:, t], low[:, t] + (1 << (BITS - depth)))
+        return first, last
+
+    def gathered(self, queries: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """query * rows + row of the rows in such ranges, each once."""
+        pairs = []
         for t in range(TREES):
-            first = np.searchsorted(self.sorted[:, t], low[:, t])
-            last = np.searchsorted(self.sorted[:, t], low[:, t] + (1 << (BITS - depth)))
-            size = last - first
+            size = last[:, t] - first[:, t]
             ends = np.cumsum(size)
-            at = np.arange(ends[-1]) + np.repeat(first - (ends - size), size)
-            out[np.repeat(np.arange(len(strings)), size), self.order[at, t]] = True
+            at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(first[:, t] - (ends - size), size)
+            pairs.append(np.repeat(queries, size) * len(self.ids) + self.order[at, t])
+        return np.unique(np.concatenate(pairs))
+
+    def cosines(self, q: np.ndarray, norm: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+        out = np.empty(len(pairs))
+        for i in range(0, len(pairs), SCORED_AT_ONCE):
+            query, row = np.divmod(pairs[i:i + SCORED_AT_ONCE], len(self.ids))
+            out[i:i + SCORED_AT_ONCE] = (self.x[row] * q[query]).sum(1) / (norm[query] * self.norm[row])
         return out
 
     def search(self, ids: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query, row, score) of the k nearest rows found for each query."""
+        """(query, row, score) of the k nearest rows found for each query; only rows that the trees gather are scored."""
         q = unit_scaled(vectors)
         norm = np.sqrt((q * q).sum(1))
         strings = self.strings(q)
-        near = (q @ self.x.T) / norm[:, None] / self.norm
-        near[ids[:, None] == self.ids] = -np.inf
-        found = []
-        open_ = np.arange(len(q))
-        for depth in DEPTHS:
-            scores = np.where(self.reached(strings[open_], depth), near[open_], -np.inf) if depth else near[open_]
-            want = min(k, scores.shape[1])
-            kth = -np.partition(-scores, want - 1, axis=1)[:, want - 1] if want else np.full(len(open_), -np.inf)
+        longest = self.longest(strings).max(1)
+        best, score = np.empty(0, np.int64), np.empty(0)  # query * rows + row of each query's k best so far
+        open_ = np.ones(len(q), bool)
+        was_first, was_last = (np.zeros((len(q), TREES), np.int64) for _ in range(2))
+        for depth in range(BITS, -1, -1):
+            on = np.flatnonzero(open_ & (longest >= depth))
+            if not len(on):
+                continue
+            first, last = self.ranges(strings[on], depth)
+            new_query = was_last[on] <= was_first[on]
+            inner_first, inner_last = np.where(new_query, last, was_first[on]), np.where(new_query, last, was_last[on])
+            pairs = self.gathered(np.concatenate([on, on]), np.concatenate([first, inner_last]), np.concatenate([inner_first, last]))
+            was_first[on], was_last[on] = first, last
+            pairs = np.setdiff1d(pairs, best, assume_unique=True)
+            pairs = pairs[ids[pairs // len(self.ids)] != self.ids[pairs % len(self.ids)]]
+            self.scored += len(pairs)
+            best, score = np.concatenate([best, pairs]), np.concatenate([score, self.cosines(q, norm, pairs)])
+            order = np.lexsort((self.ids[best % len(self.ids)], -score, best // len(self.ids)))
+            best, score = best[order], score[order]
+            query = best // len(self.ids)
+            place = np.arange(len(query)) - np.searchsorted(query, query)
+            best, score, query, place = (x[place < k] for x in (best, score, query, place))
+            kth = np.full(len(q), -np.inf)
+            kth[query[place == k - 1]] = score[place == k - 1]
             agree = 1 - np.arccos(np.clip(kth, -1, 1)) / math.pi
-            done = ((1 - agree ** depth) ** TREES <= MISS) & (kth > -np.inf) & (want == k)
-            if not depth:
-                done[:] = True
-            for i in np.flatnonzero(done):
-                row = np.flatnonzero((scores[i] >= kth[i] - 1e-9) & (scores[i] > -np.inf))
-                exact = (self.x[row] * q[open_[i]]).sum(1) / (norm[open_[i]] * self.norm[row])
-                best = np.lexsort((self.ids[row], -exact))[:k]
-                found.append((np.full(len(best), open_[i]), row[best], exact[best]))
-            open_ = open_[~done]
-            if not len(open_):
-                break
-        return tuple(np.concatenate(x) for x in zip(*found))
+            open_ &= ~(((1 - agree ** depth) ** TREES <= MISS) & (kth > -np.inf))
+        return best // len(self.ids), best % len(self.ids), score
 
 
 def _search(k: int):

@@ -65,3 +65,34 @@ def test_odd_vectors_take_no_part(spark):
     assert {q: sorted(a for a, _ in w) for q, w in found.items()} == {0: [1, 1, 9, 200], 150: [7], 200: [0, 1, 1, 9]}
     assert every_50(table(spark, [])).count() == 0
     assert every_50(table(spark, [(50, [1, 2])])).count() == 0
+
+
+def test_only_gathered_rows_are_scored():
+    """Clusters of near vectors: a search scores a small part of all rows, and finds what brute force finds."""
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((300, 32))
+    x = np.repeat(centres, 20, axis=0) + 0.05 * rng.standard_normal((6000, 32))
+    forest = hash_forest.Forest(np.arange(6000), x)
+    asked = np.arange(0, 6000, 100)
+    query, row, score = forest.search(asked, x[asked], 5)
+    assert forest.scored < 0.05 * 6000 * len(asked)
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    cosines = unit[asked] @ unit.T
+    cosines[np.arange(len(asked)), asked] = -2
+    want = np.sort(np.argpartition(-cosines, 5, axis=1)[:, :5], axis=1)
+    same = sum(len(set(row[query == i]) & set(want[i])) for i in range(len(asked)))
+    assert same >= 0.9 * want.size and len(query) == want.size
+
+
+def test_longest_prefix_and_ranges():
+    rng = np.random.default_rng(9)
+    forest = hash_forest.Forest(np.arange(500), rng.standard_normal((500, 6)))
+    strings = forest.strings(rng.standard_normal((20, 6)))
+    own = np.take_along_axis(forest.sorted, np.argsort(forest.order, axis=0), 0)
+    longest = forest.longest(strings)
+    for i in range(20):
+        for t in range(hash_forest.TREES):
+            shared = [hash_forest.BITS - int(a ^ strings[i, t]).bit_length() for a in own[:, t]]
+            assert longest[i, t] == max(shared)
+            first, last = forest.ranges(strings[i:i + 1], 4)
+            assert set(forest.order[first[0, t]:last[0, t], t]) == {r for r in range(500) if shared[r] >= 4}
