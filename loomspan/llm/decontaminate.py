@@ -60,10 +60,15 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     # Of a position, a hash and the word before are enough; the words are joined back to the hits where they would be shuffled with every shingle.
     small = rows <= BROADCAST_ROWS
     placed = docs.select("doc_id", F.size("w").alias("n"), (F.col("w") if small else F.xxhash64("w")).alias("carried"), shingles_of(F.col("w")).alias("hs"),
-                         F.transform("w", lambda x: F.xxhash64(x)).alias("own"))
+                         *[] if small else [F.transform("w", lambda x: F.xxhash64(x)).alias("own")])
+    entry = F.col("hs") if small else F.transform("hs", lambda h, i: F.struct(h.alias("h"), F.get("own", i - 1).alias("previous")))
     # the outer form, as Spark would else filter on the array below the projection that makes it, and make it twice
-    found = placed.select("doc_id", "n", "carried", F.posexplode_outer(F.transform("hs", lambda h, i: F.struct(h.alias("h"), F.get("own", i - 1).alias("previous")))).alias("p", "at")) \
-        .select("doc_id", "n", "carried", "p", "at.*").join(_small(anchors, rows), "h") \
+    found = placed.select("doc_id", "n", "carried", F.posexplode_outer(entry).alias("p", "h"))
+    if small:
+        found = found.join(F.broadcast(anchors), "h").withColumn("previous", F.xxhash64(F.get("carried", F.col("p") - 1)))
+    else:
+        found = found.select("doc_id", "n", "carried", "p", "h.*").join(anchors, "h")
+    found = found \
         .where((F.col("q") == 0) | (F.col("p") == 0) | (F.col("previous") != F.col("before")))  # where a run of shared shingles begins
     start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.col("n") - F.col("len")))
     found = found.select("doc_id", F.col("carried").alias("w"), "len", start.alias("start"))

@@ -30,7 +30,9 @@ from pyspark.sql import functions as F
 from .scratch import small_batches
 
 TREES, BITS = 12, 32
-MISS = 0.03
+MISS = 0.05
+#: From one in so many of a block's rows on, the rows that a depth adds are scored as one product of matrices.
+MANY = 16
 #: Vectors of gathered rows that are held at once.
 SCORED_AT_ONCE = 1 << 15
 #: Rows of a block: at least and at most, and the number of blocks aimed at between.
@@ -92,6 +94,21 @@ class Forest:
             pairs.append(np.repeat(queries, size) * len(self.ids) + self.order[at, t])
         return np.unique(np.concatenate(pairs))
 
+    def screened(self, dense: np.ndarray, queries: np.ndarray, first: np.ndarray, last: np.ndarray, k: int) -> np.ndarray:
+        """What `gathered` gives, but only the pairs that may be among the query's k best of them (and its own row); for ranges of much of the block."""
+        mine = np.unique(queries)
+        inside = np.zeros((len(mine), len(self.ids)), bool)
+        row = np.searchsorted(mine, queries)
+        for t in range(TREES):
+            for i, a, b in zip(row, first[:, t], last[:, t]):
+                inside[i, self.order[a:b, t]] = True
+        self.scored += int(inside.sum())
+        scores = np.where(inside, dense[mine], -np.inf)
+        want = min(k + 1, scores.shape[1])
+        kth = -np.partition(-scores, want - 1, axis=1)[:, want - 1]
+        i, j = np.nonzero(inside & (scores >= kth[:, None] - 1e-9))
+        return mine[i] * len(self.ids) + j
+
     def cosines(self, q: np.ndarray, norm: np.ndarray, pairs: np.ndarray) -> np.ndarray:
         out = np.empty(len(pairs))
         for i in range(0, len(pairs), SCORED_AT_ONCE):
@@ -106,7 +123,7 @@ class Forest:
         strings = self.strings(q)
         longest = self.longest(strings).max(1)
         best, score = np.empty(0, np.int64), np.empty(0)  # query * rows + row of each query's k best so far
-        open_ = np.ones(len(q), bool)
+        open_, dense = np.ones(len(q), bool), None
         was_first, was_last = (np.zeros((len(q), TREES), np.int64) for _ in range(2))
         for depth in range(BITS, -1, -1):
             on = np.flatnonzero(open_ & (longest >= depth))
@@ -115,11 +132,17 @@ class Forest:
             first, last = self.ranges(strings[on], depth)
             new_query = was_last[on] <= was_first[on]
             inner_first, inner_last = np.where(new_query, last, was_first[on]), np.where(new_query, last, was_last[on])
-            pairs = self.gathered(np.concatenate([on, on]), np.concatenate([first, inner_last]), np.concatenate([inner_first, last]))
+            added = np.concatenate([on, on]), np.concatenate([first, inner_last]), np.concatenate([inner_first, last])
             was_first[on], was_last[on] = first, last
+            if (added[2] - added[1]).sum() * MANY < len(on) * len(self.ids):
+                pairs = self.gathered(*added)
+                self.scored += len(pairs)
+            else:
+                if dense is None:
+                    dense = (q @ self.x.T) / norm[:, None] / self.norm
+                pairs = self.screened(dense, *added, k)
             pairs = np.setdiff1d(pairs, best, assume_unique=True)
             pairs = pairs[ids[pairs // len(self.ids)] != self.ids[pairs % len(self.ids)]]
-            self.scored += len(pairs)
             best, score = np.concatenate([best, pairs]), np.concatenate([score, self.cosines(q, norm, pairs)])
             order = np.lexsort((self.ids[best % len(self.ids)], -score, best // len(self.ids)))
             best, score = best[order], score[order]
