@@ -72,6 +72,25 @@ def private_projection(text: Column) -> Column:
     return reduce(lambda t, p: F.regexp_replace(t, p[0], p[1]), PRIVATE, text)
 
 
+# What sensitive output is replaced by, in order.
+SENSITIVE = [
+    (r"(?i)postgres(?:ql)?://[^\s\"'<>]+", "[REDACTED_DATABASE_URL]"),
+    (r"\beyJ[A-Za-z0-9_-]{20,}(?:\.[A-Za-z0-9_-]{10,}){1,2}\b", "[REDACTED_JWT]"),
+    (r"(?i)(anon|service[_ -]?role|secret|password|pairing[_ -]?code|api[_ -]?key)\s*[:=]\s*[^\s,;]+", "$1=[REDACTED]"),
+    (r"(?i)https?://(?!127\.0\.0\.1(?::|/)|localhost(?::|/)|\[::1\](?::|/))[^\s\"'<>]+", "[REDACTED_NONLOCAL_URL]"),
+]
+
+
+def sanitized(text: Column) -> Column:
+    return reduce(lambda t, p: F.regexp_replace(t, p[0], p[1]), SENSITIVE, text)
+
+
+def approved_statement(statement: Column, candidate_type: Column, first: Column, last: Column, n: Column, json: Column) -> Column:
+    """What stands for an approved record: its statement, else its message range, else 400 characters of its JSON."""
+    spoken = F.concat(F.lit("Approved message range "), first.cast("string"), F.lit("–"), last.cast("string"), F.lit(" ("), n.cast("string"), F.lit(" messages) of the preserved capture."))
+    return F.when(F.trim(statement) != "", statement).when(candidate_type == "message_range", spoken).otherwise(F.substring(json, 1, 400))
+
+
 def control_free(text: Column) -> Column:
     return F.regexp_replace(text, r"[\x00-\x1f\x7f]", " ")
 

@@ -107,17 +107,18 @@ class Bundle:
 
     @cached_property
     def operation_events(self) -> DataFrame:
-        """One operation a user: the first steps of the success lifecycle at the times of its events; some have a fault."""
+        """The steps of success lifecycles at the times of a user's events: each run of as many events as there are steps is one operation, the last one as far as
+        its events go; some have a fault."""
         from .operators.operations import LIFECYCLE
 
         e = self.raw("events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id")
         from pyspark.sql import Window
 
-        n = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+        n = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
         steps = F.array(*map(F.lit, LIFECYCLE))
-        e = e.withColumn("event_sequence", n).where(F.col("event_sequence") <= F.least(F.col("user_id") % 14, F.lit(len(LIFECYCLE))))
+        e = e.withColumn("n", n).withColumn("cycle", F.floor(F.col("n") / len(LIFECYCLE))).withColumn("event_sequence", (F.col("n") % len(LIFECYCLE) + 1).cast("int"))
         kind = F.when((F.col("user_id") % 17 == 0) & (F.col("event_sequence") == 4), "capture_completed").otherwise(F.element_at(steps, F.col("event_sequence")))
-        return e.select(hashed_id("operation", F.col("user_id")).alias("operation_id"), F.col("event_sequence").cast("long").alias("event_sequence"), kind.alias("event_type"),
+        return e.select(hashed_id("operation", F.col("user_id"), F.col("cycle")).alias("operation_id"), F.col("event_sequence").cast("long").alias("event_sequence"), kind.alias("event_type"),
                         F.unix_micros("ts").alias("event_us"), F.concat(F.lit("component_"), (F.col("event_sequence") % 3).cast("string")).alias("source_component"))
 
 

@@ -9,19 +9,23 @@ from ..operators import validators
 from ..registry import register
 
 
-@register("p2_p4_representations", """SELECT content_block_id, contains(lower(value), 'the') has_exact, value preferred, sha256(lower(value)) = sha256(value) lower_is_same FROM blocks""")
+@register("p2_p4_representations", """SELECT content_block_id, lower(value) = value has_pair, value preferred, sha256(lower(value)) = sha256(value) lower_is_same FROM blocks""")
 def representations(b: Bundle):
-    """Containment of a (kind, hash) pair, and the canonical representation where there is one."""
+    """Containment of a (kind, hash) pair in the array, and the canonical representation where there is one."""
     reps = F.col("representations")
     canonical = F.get(F.filter(reps, lambda r: r["representation_kind"] == "canonical_text"), F.lit(0))
     preferred = F.coalesce(canonical, F.get(reps, F.lit(0)))["value"]
     same = F.exists(reps, lambda r: (r["representation_kind"] == "lower_text") & (r["sha256"] == F.col("sha256")))
-    return b.representations.select("content_block_id", F.contains(F.lower("value"), F.lit("the")).alias("has_exact"), preferred.alias("preferred"), same.alias("lower_is_same"))
+    pairs = F.transform(reps, lambda r: F.struct(r["representation_kind"].alias("kind"), r["sha256"].alias("sha256")))
+    return b.representations.select("content_block_id", F.array_contains(pairs, F.struct(F.lit("lower_text").alias("kind"), F.col("sha256").alias("sha256"))).alias("has_pair"),
+                                    preferred.alias("preferred"), same.alias("lower_is_same"))
 
 
-@register("p3_p8_p9_filters", "SELECT event_id FROM events WHERE event_type IN ('click', 'view', 'purchase') AND props LIKE '{%'")
+@register("p3_p8_p9_filters", "SELECT event_id, event_type FROM events WHERE event_type IN ('click', 'view', 'purchase') AND json_exists(props, '$.k') UNION ALL SELECT event_id, event_type FROM events WHERE event_type LIKE 'p%' AND NOT json_exists(props, '$.k')")
 def filters(b: Bundle):
-    return b.raw("events").where(F.col("event_type").isin("click", "view", "purchase")).where(F.startswith("props", F.lit("{"))).select("event_id")
+    """Key existence, membership in a list and a prefix."""
+    e = b.raw("events").withColumn("keyed", F.coalesce(F.array_contains(F.json_object_keys("props"), "k"), F.lit(False)))
+    return e.where(F.col("event_type").isin("click", "view", "purchase") & F.col("keyed")).unionByName(e.where(F.startswith("event_type", F.lit("p")) & ~F.col("keyed"))).select("event_id", "event_type")
 
 
 @register("p7_p14_row_values", "SELECT a.message_id FROM messages a JOIN messages b ON a.conversation_id = b.conversation_id AND a.role = b.role AND a.\"sequence\" = b.\"sequence\" + 2 WHERE a.text_sha256 IS DISTINCT FROM b.text_sha256")
@@ -76,9 +80,9 @@ def merged_metadata(b: Bundle):
     return e.groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("last_type"), F.min(F.when(F.col("event_id") % 2 == 0, F.col("event_type"))).alias("even_type"))
 
 
-@register("k4_fingerprints", """SELECT page_id, sha256('{"n":"' || length(html) || '","url":"' || url || '"}') fingerprint FROM pages WHERE NOT regexp_matches(url, '["\\\\/]x')""")
+@register("k4_fingerprints", """SELECT page_id, sha256('{"n":"' || length(html) || '","url":' || CAST(to_json(url) AS VARCHAR) || '}') fingerprint FROM pages""")
 def fingerprints(b: Bundle):
-    return b.raw("pages").where(~F.col("url").rlike(r'["\\/]x')).select("page_id", hashing.sha256(hashing.canonical_object(n=F.length("html"), url=F.col("url"))).alias("fingerprint"))
+    return b.raw("pages").select("page_id", hashing.sha256(hashing.canonical_object(n=F.length("html"), url=F.col("url"))).alias("fingerprint"))
 
 
 @register("k10_event_hashes", """SELECT event_id, sha256('{"event_id": ' || event_id || ', "event_type": "' || event_type || '", "event_timestamp": "' || strftime(CAST(ts AS TIMESTAMP), '%Y-%m-%dT%H:%M:%S.%fZ') || '"}') event_sha256 FROM events""")

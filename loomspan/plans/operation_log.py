@@ -9,10 +9,12 @@ from ..registry import register
 
 NOW_US = 1_800_000_000_000_000
 _STEPS = ", ".join(f"'{x}'" for x in operations.LIFECYCLE)
-EVENTS = f"""ev0 AS (SELECT user_id, epoch_us(CAST(ts AS TIMESTAMP)) event_us, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) event_sequence FROM events),
-ev AS (SELECT 'operation_' || substr(sha256(CAST(user_id AS VARCHAR)), 1, 32) operation_id, event_sequence,
+_N = len(operations.LIFECYCLE)
+EVENTS = f"""ev0 AS (SELECT user_id, epoch_us(CAST(ts AS TIMESTAMP)) event_us, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 n FROM events),
+ev1 AS (SELECT *, n // {_N} AS cyc, n % {_N} + 1 event_sequence FROM ev0),
+ev AS (SELECT 'operation_' || substr(sha256(user_id || ':' || cyc), 1, 32) operation_id, event_sequence,
   CASE WHEN user_id % 17 = 0 AND event_sequence = 4 THEN 'capture_completed' ELSE list_extract([{_STEPS}], event_sequence) END event_type,
-  event_us, 'component_' || (event_sequence % 3) source_component FROM ev0 WHERE event_sequence <= least(user_id % 14, {len(operations.LIFECYCLE)}))"""
+  event_us, 'component_' || (event_sequence % 3) source_component FROM ev1)"""
 _RULES = " UNION ALL ".join(f"SELECT '{s}' f, '{e}' e, '{to}' t" for e, (states, to) in operations.TRANSITIONS.items() for s in states)
 FOLD = EVENTS + f""", rules AS ({_RULES}),
 walk AS (SELECT * FROM (WITH RECURSIVE w AS (

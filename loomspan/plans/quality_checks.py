@@ -32,11 +32,14 @@ def invariants(b: Bundle):
                             validators.unresolved(bad, "message_id", "conversation_id", b.captures, "conversation_id"))
 
 
-@register("v2_sound_model", "SELECT 'none' code, '' record_id, '' message WHERE false")
+@register("v2_sound_model", """SELECT 'sequence_not_contiguous' code, message_id record_id, CAST("sequence" AS VARCHAR) message FROM messages WHERE conv_id % 9 = 0 AND "sequence" > 1
+UNION ALL SELECT 'reference_unresolved', provenance_edge_id, content_block_id FROM edges WHERE message_id IN (SELECT message_id FROM messages WHERE conv_id % 19 = 0 AND "sequence" = 0)""")
 def sound_model(b: Bundle):
+    """Of the model's rules, those hold that no fault was planted for: one turn in nine conversations and the blocks of some first messages are missing."""
+    gone = b.messages.where("conv_id % 19 = 0 and sequence = 0").select("message_id")
     return validators.union(
-        validators.duplicates(b.blocks, "content_block_id"), validators.wrong_hash(b.blocks, "content_block_id", "value", "sha256"), validators.not_contiguous(b.messages, "conversation_id", "sequence", "message_id"),
-        validators.unresolved(b.edges, "provenance_edge_id", "content_block_id", b.blocks, "content_block_id"), validators.unresolved(b.approved, "approved_knowledge_id", "approval_event_id", b.reviews, "human_review_event_id"))
+        validators.duplicates(b.blocks, "content_block_id"), validators.wrong_hash(b.blocks, "content_block_id", "value", "sha256"), validators.not_contiguous(b.messages.where("not (conv_id % 9 = 0 and sequence = 1)"), "conversation_id", "sequence", "message_id"),
+        validators.unresolved(b.edges, "provenance_edge_id", "content_block_id", b.blocks.join(gone, "message_id", "left_anti"), "content_block_id"), validators.unresolved(b.approved, "approved_knowledge_id", "approval_event_id", b.reviews, "human_review_event_id"))
 
 
 @register("v3_completion_errors", """SELECT capture_version_id, concat_ws(',', CASE WHEN n_messages < 3 THEN 'too_few_messages' END, CASE WHEN verification_status = 'failed' THEN 'capture_failed' END,
@@ -55,12 +58,13 @@ def trust_states(b: Bundle):
     return b.captures.select("capture_version_id", F.when(s == "complete", "trusted").when(s == "partial", "repaired").when(s == "failed", "retired").otherwise("quarantined").alias("state"))
 
 
-@register("v12_illegal_transitions", """SELECT 'illegal_transition' code, message_id record_id, p || '>' || role message FROM (SELECT *, lag(role) OVER (PARTITION BY conversation_id ORDER BY "sequence") p FROM messages)
-WHERE p IS NOT NULL AND (p || '>' || role) NOT IN ('user>assistant', 'assistant>user', 'system_visible>user')""")
+@register("v12_illegal_transitions", """SELECT 'illegal_transition' code, message_id record_id, p || '>' || role message FROM (SELECT message_id, role, lag(role) OVER (PARTITION BY conversation_id ORDER BY "sequence") p
+FROM messages WHERE NOT (conv_id % 7 = 0 AND "sequence" = 1)) WHERE p IS NOT NULL AND (p || '>' || role) NOT IN ('user>assistant', 'assistant>user', 'system_visible>user')""")
 def illegal_transitions(b: Bundle):
+    """Of one conversation in seven, the second message is missing."""
     from pyspark.sql import Window
 
-    steps = b.messages.withColumn("p", F.lag("role").over(Window.partitionBy("conversation_id").orderBy("sequence"))).where("p is not null")
+    steps = b.messages.where("not (conv_id % 7 = 0 and sequence = 1)").withColumn("p", F.lag("role").over(Window.partitionBy("conversation_id").orderBy("sequence"))).where("p is not null")
     return validators.illegal_transitions(steps, "message_id", "p", "role", {("user", "assistant"), ("assistant", "user"), ("system_visible", "user")})
 
 
@@ -110,6 +114,12 @@ def quality_audit(b: Bundle):
     return b.candidates.agg(F.count("*").alias("candidates")).crossJoin(bare).crossJoin(repeated)  # single rows
 
 
-@register("v18_inventory_integrity", "SELECT 'duplicate_id' code, url record_id, CAST(count(*) AS VARCHAR) message FROM pages GROUP BY 2 HAVING count(*) > 1")
+@register("v18_inventory_integrity", """SELECT 'duplicate_id' code, url record_id, CAST(count(*) AS VARCHAR) message FROM (SELECT url FROM pages UNION ALL SELECT url FROM pages WHERE page_id % 20 = 0) GROUP BY 2 HAVING count(*) > 1
+UNION ALL SELECT 'hash_mismatch', CAST(page_id AS VARCHAR), reverse(sha256(html)) FROM pages WHERE page_id % 25 = 0""")
 def inventory_integrity(b: Bundle):
-    return validators.duplicates(b.raw("pages"), "url")
+    """Repeated addresses and wrong evidence hashes of an inventory, in which some of both are planted."""
+    pages = b.raw("pages")
+    digest = F.sha2(F.col("html").cast("binary"), 256)
+    rows = pages.select(F.col("page_id").cast("string").alias("page_id"), "url", "html", F.when(F.col("page_id") % 25 == 0, F.reverse(digest)).otherwise(digest).alias("evidence_sha256"))
+    return validators.union(validators.duplicates(rows.select("url").unionByName(pages.where("page_id % 20 = 0").select("url")), "url"),
+                            validators.wrong_hash(rows, "page_id", "html", "evidence_sha256"))

@@ -40,4 +40,6 @@ def test_query_equals_oracle(spark, duck, sf, name):
 
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
 def test_query_without_oracle_runs(spark, sf, name):
-    assert registry.QUERIES[name](spark, sf).columns
+    """Executed, not only planned."""
+    found = registry.QUERIES[name](spark, sf)
+    assert found.columns and found.count() >= 0
