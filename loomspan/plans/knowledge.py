@@ -97,9 +97,13 @@ def capture_counts(b: Bundle):
   SELECT conversation_id, chunk_id, lead(chunk_id) OVER (ORDER BY conv_id, range_no) nxt FROM ranges) WHERE nxt IS NOT NULL
   UNION ALL SELECT nc, chunk_id || '>' || nxt FROM (SELECT chunk_id, lead(chunk_id) OVER (ORDER BY conv_id, range_no) nxt, lead(conversation_id) OVER (ORDER BY conv_id, range_no) nc FROM ranges) WHERE nxt IS NOT NULL) GROUP BY 1""")
 def endpoint_links(b: Bundle):
-    """Links between one range and the next; a link counts once for each distinct conversation at its ends."""
-    order = Window.orderBy("conv_id", "range_no")  # the links of this small fixture; real links come as a table
-    links = b.ranges.select("conversation_id", "chunk_id", F.lead("chunk_id").over(order).alias("nxt"), F.lead("conversation_id").over(order).alias("nc")).where("nxt is not null")
+    """Links between one range and the next, within a conversation and from its last range to the first of the conversation after it; a link counts
+    once for each distinct conversation at its ends."""
+    own = Window.partitionBy("conversation_id").orderBy("range_no")
+    within = b.ranges.select("conversation_id", "chunk_id", F.lead("chunk_id").over(own).alias("nxt"), F.col("conversation_id").alias("nc")).where("nxt is not null")
+    ends = b.ranges.groupBy("conv_id", "conversation_id").agg(F.min_by("chunk_id", "range_no").alias("first"), F.max_by("chunk_id", "range_no").alias("last"))
+    after = ends.select((F.col("conv_id") - 1).alias("conv_id"), F.col("first").alias("nxt"), F.col("conversation_id").alias("nc"))
+    links = within.unionByName(ends.join(after, "conv_id").select("conversation_id", F.col("last").alias("chunk_id"), "nxt", "nc"))
     ends = links.select(F.concat_ws(">", "chunk_id", "nxt").alias("link"), F.explode(F.array_distinct(F.array("conversation_id", "nc"))).alias("conversation_id"))
     return ends.groupBy("conversation_id").agg(F.count_distinct("link").alias("n_links"))
 

@@ -73,11 +73,17 @@ def numbers(b: Bundle):
     return b.captures.select("conversation_id", F.floor(n / 4).alias("fourth"), (n % 4).alias("rest"), F.least(F.greatest(n, F.lit(3)), F.lit(6)).cast("long").alias("clamped"), F.array_join(errors, ",").alias("errors"))
 
 
-@register("f33_merged_metadata", "SELECT user_id, max_by(event_type, event_id) last_type, min(event_type) FILTER (WHERE event_id % 2 = 0) even_type FROM events GROUP BY 1")
+@register("f33_merged_metadata", """SELECT user_id, string_agg(k || '=' || v, ',' ORDER BY k) merged FROM (SELECT user_id, k, arg_max(v, event_id) v FROM (
+SELECT user_id, event_id, 'last' k, event_type v FROM events UNION ALL SELECT user_id, event_id, 'even', event_type FROM events WHERE event_id % 2 = 0
+UNION ALL SELECT user_id, event_id, 'p' || (event_id % 3), CAST(event_id AS VARCHAR) FROM events) GROUP BY 1, 2) GROUP BY 1""")
 def merged_metadata(b: Bundle):
-    """A shallow merge of a key's maps in order, later ones winning, as one value for each key."""
+    """A shallow merge of the maps of a key's rows, later ones winning entry by entry."""
     e = b.raw("events")
-    return e.groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("last_type"), F.min(F.when(F.col("event_id") % 2 == 0, F.col("event_type"))).alias("even_type"))
+    odd = F.create_map(F.lit("last"), "event_type", F.concat(F.lit("p"), (F.col("event_id") % 3).cast("string")), F.col("event_id").cast("string"))
+    maps = e.select("user_id", "event_id", F.when(F.col("event_id") % 2 == 0, F.map_concat(odd, F.create_map(F.lit("even"), "event_type"))).otherwise(odd).alias("m"))
+    entries = maps.select("user_id", "event_id", F.explode("m").alias("k", "v")).groupBy("user_id", "k").agg(F.max_by("v", "event_id").alias("v"))
+    merged = entries.groupBy("user_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("m"))  # one entry a name
+    return merged.select("user_id", F.array_join(F.transform(F.map_entries("m"), lambda x: F.concat_ws("=", x["key"], x["value"])), ",").alias("merged"))
 
 
 @register("k4_fingerprints", """SELECT page_id, sha256('{"n":"' || length(html) || '","url":' || CAST(to_json(url) AS VARCHAR) || '}') fingerprint FROM pages""")
