@@ -38,26 +38,23 @@ def change_counts(b: Bundle):
 
 @register("u5_branch_difference", "SELECT conversation_id, count(*) lost FROM (SELECT conversation_id, text_sha256 FROM messages EXCEPT SELECT conversation_id, text_sha256 FROM later) GROUP BY 1", PAIRS)
 def branch_difference(b: Bundle):
+    """Hashes that a conversation has lost: an anti join of distinct hashes, so no conversation's hashes are gathered."""
     def hashes(df):
-        return df.groupBy("conversation_id").agg(F.collect_set("text_sha256").alias("h"))
+        return df.select("conversation_id", "text_sha256").distinct()
 
-    a, c = hashes(b.messages), hashes(later(b)).withColumnRenamed("h", "later")
-    lost = F.size(F.array_except("h", F.coalesce("later", F.array().cast("array<string>"))))
-    return a.join(c, "conversation_id", "left").select("conversation_id", lost.cast("long").alias("lost")).where("lost > 0")
+    lost = hashes(b.messages).join(hashes(later(b)), ["conversation_id", "text_sha256"], "left_anti")
+    return lost.groupBy("conversation_id").agg(F.count("*").alias("lost"))
 
 
 @register("f31_f32_map_changes", "SELECT conversation_id, count(*) changed FROM diff WHERE change <> 'unchanged' GROUP BY 1", PAIRS)
 def map_changes(b: Bundle):
-    """Changed keys between two maps of message hashes."""
-    def hashes(df, name):
-        return df.groupBy("conversation_id").agg(F.map_from_entries(F.collect_list(F.struct("sequence", "text_sha256"))).alias(name))
-
-    both = hashes(b.messages, "x").join(hashes(later(b), "y"), "conversation_id", "full")
-    empty = F.create_map().cast("map<bigint,string>")
-    x, y = F.coalesce("x", empty), F.coalesce("y", empty)
-    keys = F.array_union(F.map_keys(x), F.map_keys(y))
-    changed = F.filter(keys, lambda k: ~F.try_element_at(x, k).eqNullSafe(F.try_element_at(y, k)))
-    return both.select("conversation_id", F.size(changed).cast("long").alias("changed")).where("changed > 0")
+    """Changed keys between two maps of message hashes, each map as one row for each key."""
+    def entries(df, name):
+        return df.select("conversation_id", "sequence", F.col("text_sha256").alias(name))
+
+    both = entries(b.messages, "x").join(entries(later(b), "y"), ["conversation_id", "sequence"], "full")
+    changed = both.where(~F.col("x").eqNullSafe(F.col("y")))
+    return changed.groupBy("conversation_id").agg(F.count_distinct("sequence").alias("changed"))
 
 
 @register("c17_unique_matches", """SELECT p.message_id prior_id, c.message_id current_id, matched_by FROM (
