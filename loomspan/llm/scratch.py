@@ -43,10 +43,11 @@ def drop_path(spark: SparkSession, path: str) -> None:
 class Table:
     """A DataFrame written once and read many times."""
 
-    def __init__(self, df: DataFrame, name: str):
+    def __init__(self, df: DataFrame, name: str, compression: str = "snappy"):
         self.spark = df.sparkSession
         self.path = new_path(self.spark, name)
-        df.write.parquet(self.path)
+        df.write.option("compression", compression).parquet(self.path)
+        self.spark._jvm.System.gc()  # Spark deletes a finished job's shuffle files once the driver's JVM has let go of its plan
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
