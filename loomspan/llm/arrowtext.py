@@ -118,12 +118,12 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return found[at[0] : at[-1]], at - at[0]
 
 
-def split_words(data: np.ndarray, offsets: np.ndarray, fold: bool = False) -> Words:
-    """Words ``[^\\x20\\x09-\\x0D]+``; fold lower-cases A-Z and nothing else."""
+def split_words(data: np.ndarray, offsets: np.ndarray, fold: bool = False, separators: np.ndarray = _SEPARATORS) -> Words:
+    """Words ``[^\\x20\\x09-\\x0D]+``, or runs of bytes that are no `separators`; fold lower-cases A-Z and nothing else."""
     if fold:
         upper = (data >= 65) & (data <= 90)
         data = data + (upper.view(np.uint8) << 5)
-    inside = ~_SEPARATORS[data]
+    inside = ~separators[data]
     first = inside.copy()
     last = inside.copy()
     if len(data):
