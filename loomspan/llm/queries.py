@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, collocations, decontaminate, hash_forest, line_dedup, substring_dedup, subwords, token_files, toxicity, warc
+from . import bpe, collocations, decontaminate, hash_forest, language_id, line_dedup, substring_dedup, subwords, token_files, toxicity, warc
 from .ngram_jaccard import ngram_jaccard_groups
 from .scratch import read_table
 
@@ -60,6 +60,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(manifest).drop("ids")
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_ids(read_table(spark, sf_dir, "documents"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(read_table(spark, sf_dir, "documents"))
 
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_bpe": op9_bpe,
     "op10_token_files": op10_token_files,
+    "op11_language_id": op11_language_id,
     "op13_collocations": op13_collocations,
 }
 ORACLES: dict[str, str] = {"op13_collocations": collocations.ORACLE}
