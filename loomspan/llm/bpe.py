@@ -60,7 +60,7 @@ def _flat(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class ByteBpe:
     """The vocabulary and merges of one tokenizer file, and what has been encoded with them."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, specials: bool = True):
         told = json.loads(Path(path).read_text(encoding="utf-8"))
         vocab, merges = told["model"]["vocab"], told["model"]["merges"]
         byte_of = {letter: b for b, letter in enumerate(byte_letters())}
@@ -71,6 +71,8 @@ class ByteBpe:
             token[i] = bytes(byte_of[x] for x in text)
         for raw, i in self.special.items():
             token[i] = raw
+        if not specials:
+            self.special = {}
         self.token, self.token_start, self.token_length = _flat(token)
         self.byte_id = np.array([vocab[x] for x in byte_letters()], np.int64)
         pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
@@ -230,14 +232,14 @@ class ByteBpe:
         return gather(self.token, self.token_start[ids], length), np.r_[0, np.cumsum(length)]
 
 
-_loaded: dict[str, ByteBpe] = {}
+_loaded: dict[tuple[str, bool], ByteBpe] = {}
 
 
-def tokenizer(path: str) -> ByteBpe:
-    """The tokenizer of a file, loaded once for each worker."""
-    if path not in _loaded:
-        _loaded[path] = ByteBpe(path)
-    return _loaded[path]
+def tokenizer(path: str, specials: bool = True) -> ByteBpe:
+    """The tokenizer of a file, loaded once for each worker; without specials, the texts of special tokens are plain text."""
+    if (path, specials) not in _loaded:
+        _loaded[path, specials] = ByteBpe(path, specials)
+    return _loaded[path, specials]
 
 
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:

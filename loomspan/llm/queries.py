@@ -7,15 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, collocations, decontaminate, hash_forest, language_id, line_dedup, substring_dedup, subwords, token_files, toxicity, warc
+from . import alignment, bpe, collocations, decontaminate, hash_forest, language_id, line_dedup, substring_dedup, subwords, token_files, toxicity, warc
 from .ngram_jaccard import ngram_jaccard_groups
 from .scratch import read_table
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return str(public_tokenizers.path("byte_bpe_50k.json"))
+    return str(public_tokenizers.path(name))
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +64,10 @@ def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_ids(read_table(spark, sf_dir, "documents"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignments(read_table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(read_table(spark, sf_dir, "documents"))
 
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bpe": op9_bpe,
     "op10_token_files": op10_token_files,
     "op11_language_id": op11_language_id,
+    "op12_alignment": op12_alignment,
     "op13_collocations": op13_collocations,
 }
 ORACLES: dict[str, str] = {"op13_collocations": collocations.ORACLE}
