@@ -39,6 +39,8 @@ GRAMS = (2, 3, 4)
 SAMPLE, KEPT = 2_000, 20_000
 #: Rows of the filter as a power of two, and rows that an n-gram sets.
 ROW_BITS, HASHES = 19, 3
+#: Picked rows (a language and a hash) that are broadcast at most, so that texts need no shuffle.
+BROADCAST_ROWS = 500_000
 UNKNOWN = "und"
 
 
@@ -141,7 +143,9 @@ def sampled(taught: DataFrame, size: int = SAMPLE) -> DataFrame:
     """(lang, text): at most `size` different rows of each language, picked by a hash of id and text."""
     keyed = taught.where("doc_id is not null and lang is not null").withColumn("hash", F.xxhash64("doc_id", "text"))
     order = Window.partitionBy("lang").orderBy("hash")
-    picked = keyed.select("lang", "hash").distinct().withColumn("place", F.row_number().over(order)).where(F.col("place") <= size).drop("place")
+    picked = Table(keyed.select("lang", "hash").distinct().withColumn("place", F.row_number().over(order)).where(F.col("place") <= size).drop("place"), "picked").df
+    if picked.count() <= BROADCAST_ROWS:  # beyond it, for very many languages, Spark joins as it sees fit
+        picked = F.broadcast(picked)
     return keyed.join(picked, ["lang", "hash"]).groupBy("lang", "hash").agg(F.min("text").alias("text")).select("lang", "text")
 
 
