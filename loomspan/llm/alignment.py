@@ -10,7 +10,7 @@ how many documents it is linked.
     cogroup    a slot's counts and postings meet in one task as a sorted stream, counts
                first; the task keeps the counts, takes the largest of each A id, and
                turns postings into what they add to their documents
-    documents  those sums are added up by document
+    documents  those sums, packed by the part that documents were encoded in, are added up by document
 
 Only counts are kept in memory, and their number is bounded by the vocabularies; the
 postings go by.  A slot with more than its share of postings is dealt over several tasks, each
@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ from .arrowtext import chunks, text_bytes
 from .bpe import _flat, gather, tokenizer
 from .scratch import Table, small_batches
 
-#: Slots of A ids; postings that a task holds before it packs them; pair counts that it holds before it gives them away.
+#: Slots of A ids; postings, or documents, that a task holds before it packs them; pair counts that it holds before it gives them away.
 SLOTS, POSTINGS, PAIRS = 1024, 1_000_000, 1_000_000
 #: A slot's postings are dealt anew in parts of a quarter of an even share of the tasks, within these bounds.
 LEAST_PART, MOST_PART = 100_000, 20_000_000
@@ -75,7 +76,7 @@ class PieceSide:
     def encode(self, data: np.ndarray, offsets: np.ndarray, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = self.own.encode(texts, num_threads=1)
         ptr = np.r_[0, np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))]
-        return np.fromiter((i for ids in found for i in ids), np.int32, int(ptr[-1])), ptr
+        return np.fromiter(chain.from_iterable(found), np.int32, int(ptr[-1])), ptr
 
     def pieces(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return gather(self.token, self.start[ids], self.length[ids]), self.length[ids]
@@ -224,8 +225,8 @@ def _batch(**columns: pa.Array) -> pa.RecordBatch:
 class _Postings:
     """Postings and pair counts of a task."""
 
-    def __init__(self, width: int):
-        self.width = width
+    def __init__(self, width: int, low: int = 0):
+        self.width, self.low = width, low
         self.held: list[tuple[np.ndarray, ...]] = []
         self.size = 0
         self.pairs = self.counts = np.zeros(0, np.int64)
@@ -250,8 +251,8 @@ class _Postings:
         cut = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]])
         ends = np.r_[cut[1:], len(slot)]
         first = np.searchsorted(head, np.r_[cut, len(slot)])
-        low = int(uid.min())
-        blobs = [low.to_bytes(8, "little") + pack(pair[head[i:j]], runs[i:j], uid[a:b] - low, times[a:b]) for a, b, i, j in zip(cut, ends, first[:-1], first[1:])]
+        low = self.low
+        blobs = [pack(pair[head[i:j]], runs[i:j], uid[a:b] - low, times[a:b]) for a, b, i, j in zip(cut, ends, first[:-1], first[1:])]
         yield _batch(slot=pa.array(slot[cut]), part=pa.array(np.full(len(cut), low)), n_postings=pa.array(ends - cut), postings=pa.array(blobs, pa.binary()))
         if len(self.pairs) >= PAIRS:
             yield from self.totals()
@@ -266,7 +267,8 @@ def _encode(byte_path: str, piece_path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = sides(byte_path, piece_path)
         numbers = decimals(max(x.size for x in both))
-        own, uid = _Postings(both[1].size), TaskContext.get().partitionId() << 40
+        uid = TaskContext.get().partitionId() << 40
+        own = _Postings(both[1].size, uid)
         for batch in batches:
             for part in chunks(batch):
                 found = Aligned(part.column(1), both)
@@ -277,8 +279,9 @@ def _encode(byte_path: str, piece_path: str):
                 doc, pair, times = found.links(own.width)
                 own.add(doc + uid, pair, times)
                 uid += found.docs
-                if own.size >= POSTINGS:
+                if own.size >= POSTINGS or uid - own.low >= POSTINGS:
                     yield from own.flush()
+                    own.low = uid
         yield from own.flush()
         yield from own.totals()
 
@@ -306,21 +309,24 @@ class _Slot:
         self.best = self.counts == np.repeat(largest, np.diff(np.r_[head, len(a)]))
 
     def add(self, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(document, best links, sum of counts) of packed postings."""
+        """(place in its part, best links, sum of counts) of packed postings' documents."""
         if self.pairs is None:
             self.settle()
-        pair, runs, uid, times = unpack(raw[8:])
+        pair, runs, place, times = unpack(raw)
         at = np.searchsorted(self.pairs, pair)
-        return uid + int.from_bytes(raw[:8], "little"), times * np.repeat(self.best[at], runs), times * np.repeat(self.counts[at], runs)
+        return place, times * np.repeat(self.best[at], runs), times * np.repeat(self.counts[at], runs)
 
 
-def _sums(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-    uid, best, total = map(np.concatenate, zip(*held))
-    order = np.argsort(uid, kind="stable")
-    uid = uid[order]
-    head = np.flatnonzero(np.r_[True, uid[1:] != uid[:-1]])
-    return pa.RecordBatch.from_arrays([pa.array(uid[head]), pa.array(np.add.reduceat(best[order], head)), pa.array(np.add.reduceat(total[order], head))],
-                                      names=["uid", "n_best", "count_sum"])
+def _packed_sums(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    """(part, contributions): for each part that documents were encoded in, what is added to each of its documents."""
+    part, place, best, total = map(np.concatenate, zip(*held))
+    order = np.lexsort((place, part))
+    part, place = part[order], place[order]
+    head = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (place[1:] != place[:-1])])
+    part, place, best, total = part[head], place[head], np.add.reduceat(best[order], head), np.add.reduceat(total[order], head)
+    cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+    blobs = [pack(place[a:b], best[a:b], total[a:b]) for a, b in zip(cut, [*cut[1:], len(part)])]
+    return pa.RecordBatch.from_arrays([pa.array(part[cut]), pa.array(blobs, pa.binary())], names=["part", "contributions"])
 
 
 def _cogroup(width: int):
@@ -328,17 +334,18 @@ def _cogroup(width: int):
         key, slot, held, size = None, _Slot(width), [], 0
         for batch in batches:
             keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
-            pair, n, raws = batch.column(3), batch.column(4), batch.column(5)
+            pair, n, raws, parts = batch.column(3), batch.column(4), batch.column(5), batch.column(6)
             at = 0
             while at < len(keys):
                 if keys[at] != key:
                     key, slot = keys[at], _Slot(width)
                 if raws[at].is_valid:
-                    held.append(slot.add(raws[at].as_py()))
-                    size += len(held[-1][0])
+                    place, best, total = slot.add(raws[at].as_py())
+                    held.append((np.full(len(place), parts[at].as_py()), place, best, total))
+                    size += len(place)
                     at += 1
                     if size >= POSTINGS:
-                        yield _sums(held)
+                        yield _packed_sums(held)
                         held, size = [], 0
                     continue
                 to = at + 1
@@ -347,11 +354,33 @@ def _cogroup(width: int):
                 slot.learn(pair[at:to].to_numpy(), n[at:to].to_numpy())
                 at = to
         if held:
-            yield _sums(held)
+            yield _packed_sums(held)
 
     return run
 
 
+def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(uid, n_best, count_sum) of every document of a part, from all contributions to it; parts come one after the other."""
+    part, sums = None, np.zeros((2, 0), np.int64)
+
+    def told() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.arange(part, part + sums.shape[1])), pa.array(sums[0]), pa.array(sums[1])], names=["uid", "n_best", "count_sum"])
+
+    for batch in batches:
+        for own, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+            if own != part:
+                if part is not None:
+                    yield told()
+                part, sums = own, np.zeros((2, 0), np.int64)
+            place, best, total = unpack(raw.as_py())
+            if place[-1] >= sums.shape[1]:
+                sums = np.pad(sums, ((0, 0), (0, int(place[-1]) + 1 - sums.shape[1])))
+            sums[0, place] += best
+            sums[1, place] += total
+    if part is not None:
+        yield told()
+
+
 def _width(piece_path: str) -> int:
     import sentencepiece
 
@@ -372,11 +401,12 @@ def contributions(encoded: DataFrame, counts: DataFrame, width: int) -> DataFram
     share = min(MOST_PART, max(LEAST_PART, total // (4 * int(spark.conf.get("spark.sql.shuffle.partitions")))))
     shares = F.broadcast(sizes.select("slot", F.ceil(F.col("n") / share).cast("int").alias("shares")))  # SLOTS rows at most
     left = counts.withColumn("slot", F.expr(f"cast((pair div {width}) % {SLOTS} as int)")).join(shares, "slot") \
-        .select("slot", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("kind"), "pair", "n", F.lit(None).cast("binary").alias("postings"))
+        .select("slot", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("kind"), "pair", "n", F.lit(None).cast("binary").alias("postings"), F.lit(None).cast("long").alias("part"))
     right = postings.join(shares, "slot").select("slot", F.pmod(F.xxhash64("part"), F.col("shares")).cast("int").alias("share"), F.lit(1).alias("kind"),
-                                                 F.lit(None).cast("long").alias("pair"), F.lit(None).cast("long").alias("n"), "postings")
+                                                 F.lit(None).cast("long").alias("pair"), F.lit(None).cast("long").alias("n"), "postings", "part")
     met = left.unionByName(right).repartition("slot", "share").sortWithinPartitions("slot", "share", "kind")
-    return met.mapInArrow(_cogroup(width), "uid long, n_best long, count_sum long").groupBy("uid").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
+    added = met.mapInArrow(_cogroup(width), "part long, contributions binary").repartition("part").sortWithinPartitions("part")
+    return added.mapInArrow(_add_up, "uid long, n_best long, count_sum long")
 
 
 def alignments(documents: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
