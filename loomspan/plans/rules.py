@@ -263,13 +263,6 @@ def discovery_summary(b: Bundle):
                                                    F.sum("n_messages").alias("observed"), (F.count("*") > 25).alias("sample_truncated"))
 
 
-@register("j5_expired_intents", """SELECT event_id, CASE WHEN used THEN 'used' WHEN age_s >= 900 THEN 'expired' ELSE 'open' END state, used AND age_s < 60 cooling FROM (SELECT event_id, event_id % 4 = 0 used, event_id % 1800 age_s FROM events)""")
-def expired_intents(b: Bundle):
-    """Intents that were not used within 15 minutes expire; a used one cools down for a minute."""
-    e = b.raw("events").select("event_id", (F.col("event_id") % 4 == 0).alias("used"), (F.col("event_id") % 1800).alias("age_s"))
-    return e.select("event_id", F.when(F.col("used"), "used").when(F.col("age_s") >= 900, "expired").otherwise("open").alias("state"), (F.col("used") & (F.col("age_s") < 60)).alias("cooling"))
-
-
 @register("a16_project_urls", """SELECT page_id, nullif(regexp_extract(url, '^[a-z]+://[^/?#]+/([^/?#]+)/', 1), '') container, nullif(regexp_extract(url, '([^/?#]+)$', 1), '') item FROM pages""")
 def project_urls(b: Bundle):
     """The container and the item that an address names."""
