@@ -23,4 +23,4 @@ def register(name: str, oracle: str | None = None, ctes: str = ""):
     return put
 
 
-from .plans import changes, intent_queries, knowledge, ledger, listings, observations, operation_log, proposal_queries, quality_checks, rules, structure, text_queries, timeline  # noqa: E402, F401
+from .plans import changes, intent_queries, knowledge, ledger, listings, observations, operation_log, proposal_queries, quality_checks, rules, structure, text_queries, timeline, transactions  # noqa: E402, F401
