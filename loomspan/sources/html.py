@@ -7,6 +7,7 @@ pandas functions over the html column; everything else is an expression.
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 from html import escape
 from html.parser import HTMLParser
@@ -15,46 +16,106 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Elements that are dropped with all they hold, that end at once, and the block type that an element starts.
-DROPPED = frozenset("script style form iframe object embed noscript template".split())
+# Elements that go with all they hold, attributes that go, attributes that a structure's hash counts,
+# elements that have no content, and the block type that an element starts.
+DROPPED = frozenset("script style noscript iframe object embed input textarea select button".split())
+REMOVED = frozenset("srcdoc nonce integrity value".split())
+COUNTED = frozenset("href src alt title start rowspan colspan data-language data-writing-block-fullscreen-editor-region contenteditable".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCKS = {"p": "paragraph", "pre": "code", "code": "code", "ul": "list", "ol": "list", "table": "table", "blockquote": "quote", "img": "image",
           "h1": "heading", "h2": "heading", "h3": "heading", "h4": "heading", "h5": "heading", "h6": "heading"}
-KEPT = frozenset("href src alt title colspan rowspan lang dir role".split())
+#: Elements that end when another of their kind begins.
+_SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+_ENDS_P = frozenset("p div ul ol dl table pre blockquote form section article aside header footer nav main h1 h2 h3 h4 h5 h6 hr".split())
+
+
+def _unsafe(value: str) -> bool:
+    """Whether an address runs code: control characters and spaces do not count, as browsers skip them."""
+    plain = "".join(c for c in value if c > " ").lower()
+    return plain.startswith(("javascript:", "vbscript:", "data:text/html"))
 
 
 class _Walker(HTMLParser):
+    """The markup that stays, its tree, and its typed blocks."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.out: list[str] = []
         self.shape: list[str] = []
+        self.text: list[str] = []
         self.blocks: list[list] = []
-        self.hidden = 0
+        self.open: list[tuple[str, bool]] = []  # tag, and whether it stays
+
+    def _hidden(self) -> bool:
+        return bool(self.open) and not self.open[-1][1]
+
+    def _node(self, node: str) -> None:
+        """Put a node, or the start of one, into the structure's JSON."""
+        if self.shape and self.shape[-1][-1] != "[":
+            self.shape.append(",")
+        self.shape.append(node)
+
+    def _told(self) -> None:
+        """Text that nothing parts is one node."""
+        if text := "".join(self.text):
+            self._node(json.dumps({"text": text}, ensure_ascii=False, separators=(",", ":")))
+        self.text = []
+
+    def _end(self) -> None:
+        tag, stays = self.open.pop()
+        if stays:
+            self._told()
+            self.out.append(f"</{tag}>")
+            self.shape.append("]}")
 
     def handle_starttag(self, tag, attrs):
-        if tag in DROPPED:
-            self.hidden += tag not in VOID
-        if self.hidden or tag in DROPPED:
+        if not self._hidden() and self.open:
+            last = self.open[-1][0]
+            if last in _SIBLINGS.get(tag, ()) or last == "p" and tag in _ENDS_P:
+                self._end()
+                if tag == "tr" and self.open and self.open[-1][0] == "tr":
+                    self._end()
+        if self._hidden() or tag in DROPPED:
+            if tag not in VOID:
+                self.open.append((tag, False))
             return
-        own = sorted((k, v or "") for k, v in attrs if k in KEPT and not (v or "").strip().lower().startswith("javascript:"))
-        self.out.append("<" + tag + "".join(f' {k}="{escape(v)}"' for k, v in own) + ">")
-        self.shape.append(tag + "".join(f"[{k}]" for k, _ in own) + ("" if tag in VOID else "("))
+        own: dict[str, str] = {}
+        for k, v in attrs:
+            if not k.startswith("on") and k not in REMOVED and not (k in ("href", "src", "action", "formaction") and _unsafe(v or "")):
+                own.setdefault(k, v or "")
+        self._told()
+        counted = [[k, own[k]] for k in sorted(COUNTED & own.keys())]
+        self._node(f'{{"tag":{json.dumps(tag, ensure_ascii=False)},"attributes":{json.dumps(counted, ensure_ascii=False, separators=(",", ":"))},"children":[')
+        self.out.append("<" + tag + "".join(f' {k}="{escape(v)}"' for k, v in own.items()) + ">")
+        if tag in VOID:
+            self.shape.append("]}")
+        else:
+            self.open.append((tag, True))
         if tag in BLOCKS:
-            self.blocks.append([BLOCKS[tag], "", dict(own).get("href") or dict(own).get("src") or ""])
+            self.blocks.append([BLOCKS[tag], "", own.get("href") or own.get("src") or ""])
 
     def handle_endtag(self, tag):
-        if tag in DROPPED:
-            self.hidden = max(0, self.hidden - 1)
-        elif not self.hidden and tag not in VOID:
-            self.out.append(f"</{tag}>")
-            self.shape.append(")")
+        if tag in (x[0] for x in self.open):  # what is open within it ends with it
+            while self.open[-1][0] != tag:
+                self._end()
+            self._end()
 
     def handle_data(self, data):
-        if not self.hidden:
+        if not self._hidden():
             self.out.append(escape(data, quote=False))
+            self.text.append(data)
             if self.blocks:
                 self.blocks[-1][1] += data
 
+    def close(self):
+        super().close()
+        while self.open:
+            self._end()
+        self._told()
+
+    def structure(self) -> str:
+        return f"[{''.join(self.shape)}]"
+
 
 def _parsed(html: str | None) -> _Walker:
     walker = _Walker()
@@ -72,13 +133,19 @@ def _over(make, schema: str, pages: DataFrame) -> DataFrame:
 
 
 def sanitized(pages: DataFrame) -> DataFrame:
-    """(page_id, html) without scripts, styles, forms, event handlers and unsafe attributes."""
+    """(page_id, html) without elements and attributes that run, load or hold what a user typed; null pages are empty.
+
+    An element that is not closed ends with the one around it, or with the page.
+    """
     return _over(lambda d: pd.DataFrame({"page_id": d["page_id"], "html": ["".join(_parsed(x).out) for x in d["html"]]}), "page_id long, html string", pages)
 
 
 def structure_hashes(pages: DataFrame) -> DataFrame:
-    """(page_id, structure_sha256) of the tree of elements and kept attribute names, whatever the text."""
-    return _over(lambda d: pd.DataFrame({"page_id": d["page_id"], "structure_sha256": [hashlib.sha256("".join(_parsed(x).shape).encode()).hexdigest() for x in d["html"]]}),
+    """(page_id, structure_sha256) of what stays of a page: the tree of its tags, the values of ten attributes, and its text.
+
+    Elements that a browser would add, such as a table's body, are not added.
+    """
+    return _over(lambda d: pd.DataFrame({"page_id": d["page_id"], "structure_sha256": [hashlib.sha256(_parsed(x).structure().encode("utf-8", "surrogatepass")).hexdigest() for x in d["html"]]}),
                  "page_id long, structure_sha256 string", pages)
 
 

@@ -7,13 +7,14 @@ lines that are not JSON become rows with an error and never vanish.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.textops import redact_secrets, redaction_counts
 
-# What scaffolding texts begin with.
-SCAFFOLDING = ("<environment_context", "<user_instructions", "<system-reminder", "<command-name>", "<local-command", "# AGENTS.md", "Caveat:")
+# What scaffolding texts of either shape begin with.
+SCAFFOLDING_A = ("<environment_context>", "<user_instructions>", "<skills_instructions>", "<multi_agent_mode>")
+SCAFFOLDING_B = ("<environment_context", "<user_instructions", "<system-reminder", "<command-name>", "<local-command", "# AGENTS.md", "Caveat:")
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
@@ -29,39 +30,74 @@ def _get(path: str, kind: str = "string") -> Column:
 
 
 def type_counts(records: DataFrame) -> DataFrame:
-    return records.groupBy("file", F.coalesce(_get("$.type"), F.lit("malformed")).alias("type")).agg(F.count("*").alias("n"))
+    """(file, type, n): records by type, and by type/payload type where the payload has one."""
+    whole = F.concat_ws("/", F.coalesce(_get("$.type"), F.lit("unknown")), _text("$.payload.type"))
+    return records.groupBy("file", F.when(F.col("error").isNotNull(), F.col("error")).otherwise(whole).alias("type")).agg(F.count("*").alias("n"))
 
 
-def _scaffolding(text: Column) -> Column:
-    left = F.ltrim(text)
+def _text(path: str) -> Column:
+    """A string; anything else is null."""
+    found = F.try_variant_get("json", path, "variant")
+    return F.when(F.schema_of_variant(found) == "STRING", _get(path))
+
+
+def _scaffolding(text: Column, prefixes: tuple[str, ...]) -> Column:
+    left = F.regexp_replace(text, r"^\s+", "")
     out = F.lit(False)
-    for prefix in SCAFFOLDING:
+    for prefix in prefixes:
         out = out | F.startswith(left, F.lit(prefix))
     return out
 
 
-def _joined(path: str) -> Column:
-    """The text of a content array's parts (text, input_text or output_text), one to a line; a bare string is itself."""
-    parts = F.try_variant_get("json", path, "array<struct<type:string,text:string>>")
-    return F.coalesce(F.array_join(F.filter(F.transform(parts, lambda p: p["text"]), lambda t: t.isNotNull()), "\n"), _get(path))
+def _parts(path: str, between: str) -> Column:
+    """The texts of an array's parts; a part without one is empty, and what is no array is null."""
+    parts = F.try_variant_get("json", path, "array<variant>")
+    texts = F.transform(parts, lambda p: F.coalesce(F.when(F.schema_of_variant(F.try_variant_get(p, "$.text", "variant")) == "STRING", F.try_variant_get(p, "$.text", "string")), F.lit("")))
+    return F.array_join(texts, between)
+
+
+def _classified(records: DataFrame) -> DataFrame:
+    """Shape A's records with a role, a text and, where they are not promoted, a reason."""
+    kind, role = _text("$.payload.type"), _get("$.payload.role")
+    item = F.coalesce(_get("$.type") == "response_item", F.lit(False))
+    message = item & F.coalesce(kind == "message", F.lit(False))
+    call, output = (item & F.coalesce(kind == k, F.lit(False)) for k in ("custom_tool_call", "custom_tool_call_output"))
+    told = F.coalesce(_parts("$.payload.content", "\n"), F.lit(""))
+    text = F.when(message, told).when(call, F.concat(F.lit("tool_call "), F.coalesce(_get("$.payload.name"), F.lit("tool")), F.lit("\n"), F.coalesce(_get("$.payload.input"), F.lit("null")))) \
+        .when(output, F.coalesce(_text("$.payload.output"), _parts("$.payload.output", ""), F.lit("")))
+    promoted = F.when(message & (role == "user"), F.when(_scaffolding(told, SCAFFOLDING_A), "system_visible").otherwise("user")).when(message & (role == "assistant"), "assistant").when(call | output, "tool")
+    reason = F.when(F.col("error").isNotNull(), F.col("error")).when(message & (role == "developer"), "developer_scaffolding") \
+        .when(message, F.concat(F.lit("unrecognized_message_role:"), F.coalesce(role, F.lit("")))).when(item & (kind == "reasoning"), "encrypted_reasoning_ciphertext").otherwise("non_message_record")
+    return records.withColumn("role", promoted).withColumn("kind", kind).withColumn("text", text).withColumn("reason", F.when(promoted.isNull(), reason))
 
 
 def messages_a(records: DataFrame) -> DataFrame:
-    """(file, sequence, line_no, role, kind, text, redactions) of shape A: messages, tool calls and tool outputs are promoted."""
-    kind = _get("$.payload.type")
-    item = _get("$.type") == "response_item"
-    role = F.when(kind == "message", _get("$.payload.role")).when(kind == "function_call", "assistant").when(kind == "function_call_output", "tool")
-    text = F.when(kind == "message", _joined("$.payload.content")).when(kind == "function_call", F.concat_ws(" ", _get("$.payload.name"), _get("$.payload.arguments"))) \
-        .when(kind == "function_call_output", _get("$.payload.output"))
-    return _numbered(records.where(item & role.isNotNull()), role, kind, text)
+    """(file, sequence, line_no, role, kind, text, redactions) of shape A: user and assistant messages, tool calls and their outputs are promoted."""
+    return _numbered(_classified(records).where("reason is null"))
 
 
 def excluded_a(records: DataFrame) -> DataFrame:
     """(file, line_no, reason) of what shape A does not promote."""
-    kind = _get("$.payload.type")
-    promoted = (_get("$.type") == "response_item") & kind.isin("message", "function_call", "function_call_output")
-    reason = F.when(F.col("error").isNotNull(), F.col("error")).when(kind == "reasoning", "private_reasoning").otherwise(F.concat(F.lit("record_type:"), F.coalesce(_get("$.type"), F.lit("none"))))
-    return records.where(~F.coalesce(promoted, F.lit(False))).select("file", "line_no", reason.alias("reason"))
+    return _classified(records).where("reason is not null").select("file", "line_no", "reason")
+
+
+def sessions_a(records: DataFrame) -> DataFrame:
+    """(file, session_id, session_timestamp, originator, client_version, workspace, n_records) by the first record that tells of the session."""
+    meta = F.when(_get("$.type") == "session_meta", F.struct(
+        F.coalesce(_get("$.payload.session_id"), _get("$.payload.id")).alias("session_id"), F.coalesce(_get("$.payload.timestamp"), _get("$.timestamp")).alias("session_timestamp"),
+        _get("$.payload.originator").alias("originator"), F.coalesce(_get("$.payload.cli_version"), F.lit("unknown")).alias("client_version"), _text("$.payload.cwd").alias("workspace")))
+    told = records.groupBy("file").agg(F.min_by(meta, F.when(meta.isNotNull(), F.col("line_no"))).alias("m"), F.count("*").alias("n_records"))
+    return told.select("file", "m.*", "n_records")
+
+
+def session_a_issues(records: DataFrame) -> DataFrame:
+    """(code, record_id, message): files of shape A with a line that is no JSON, without a record of the session, or without its id."""
+    told = sessions_a(records)
+    has_meta = records.where(_get("$.type") == "session_meta").select("file").distinct()
+    none = told.join(has_meta, "file", "left_anti").select(F.lit("no_session_meta").alias("code"), F.col("file").alias("record_id"), F.lit("").alias("message"))
+    no_id = told.join(has_meta, "file", "left_semi").where("coalesce(session_id, '') = ''").select(F.lit("no_session_id").alias("code"), F.col("file").alias("record_id"), F.lit("").alias("message"))
+    malformed = records.where("error is not null").select(F.col("error").alias("code"), F.col("file").alias("record_id"), F.col("line_no").cast("string").alias("message"))
+    return none.unionByName(no_id).unionByName(malformed)
 
 
 def messages_b(records: DataFrame) -> DataFrame:
@@ -71,14 +107,12 @@ def messages_b(records: DataFrame) -> DataFrame:
     rows = records.where(_get("$.type").isin("user", "assistant")).select("file", "line_no", "json", F.posexplode(F.coalesce(blocks, plain)).alias("block", "b"))
     kept = rows.where(F.col("b.type").isin("text", "tool_use", "tool_result"))
     role = F.when(F.col("b.type") == "tool_result", "tool").otherwise(_get("$.message.role"))
-    return _numbered(kept, role, F.col("b.type"), F.coalesce("b.text", "b.content", "b.name"))
-
+    found = kept.withColumn("text", F.coalesce("b.text", "b.content", "b.name")).withColumn("kind", F.col("b.type"))
+    return _numbered(found.withColumn("role", F.when((role == "user") & _scaffolding(F.col("text"), SCAFFOLDING_B), "system_visible").otherwise(role)))
 
-def _numbered(rows: DataFrame, role: Column, kind: Column, text: Column) -> DataFrame:
-    from pyspark.sql import Window
 
-    order = [c for c in ("line_no", "block") if c in rows.columns]
-    found = rows.withColumn("text", text).withColumn("kind", kind).withColumn("role", F.when((role == "user") & _scaffolding(F.col("text")), "system_visible").when(role == "developer", "system_visible").otherwise(role))
+def _numbered(found: DataFrame) -> DataFrame:
+    order = [c for c in ("line_no", "block") if c in found.columns]
     n = F.row_number().over(Window.partitionBy("file").orderBy(*order)) - 1
     return found.select("file", n.cast("long").alias("sequence"), "line_no", "role", "kind", redact_secrets(F.col("text")).alias("text"), redaction_counts(F.col("text")).alias("redactions"))
 
