@@ -88,3 +88,15 @@ def order_violations(events: DataFrame, now_us: int, skew_s: int = 300) -> DataF
         F.when(F.col("event_us") < F.col("before"), "backward_time"), F.when(F.col("event_us") > now_us + skew_s * 1_000_000, "future_time"), F.when(F.col("n") > 1, "repeated_sequence")))
     return events.withColumn("before", before).withColumn("n", n).select(
         F.explode(checks).alias("code"), F.col("operation_id").alias("record_id"), F.col("event_sequence").cast("string").alias("message"))
+
+
+# Attempts before a delivery has failed for good, and the longest wait in minutes.
+DELIVERY_ATTEMPTS, LONGEST_WAIT_MIN = 20, 30
+
+
+def delivery(attempts: DataFrame) -> DataFrame:
+    """(user_id, event_id, attempt, status, next_attempt_s) of delivery attempts at ts; a failed one waits twice as long as the one before."""
+    wait = F.least(F.lit(LONGEST_WAIT_MIN), F.pow(F.lit(2), F.col("attempt") - 1)).cast("long")
+    status = F.when(F.col("delivered"), "delivered").when(F.col("attempt") >= DELIVERY_ATTEMPTS, "delivery_failed").otherwise("retrying")
+    return attempts.withColumn("status", status).select(
+        "user_id", "event_id", "attempt", "status", F.when(F.col("status") == "retrying", F.floor(F.unix_micros("ts") / 1_000_000) + 60 * wait).cast("long").alias("next_attempt_s"))

@@ -85,8 +85,11 @@ def needs_you(b: Bundle):
     return n.agg(F.count_if(F.col("n") >= 10).alias("long_logs"), F.count("*").alias("operations"), F.sum("n").alias("total_events"))
 
 
-@register("j6_retry_backoff", "SELECT operation_id, event_sequence attempt, CAST(least(30, pow(2, event_sequence - 1)) AS BIGINT) wait_minutes, CASE WHEN event_sequence >= 10 THEN 'terminal' ELSE 'retry' END state FROM ev", EVENTS)
+@register("j6_retry_backoff", """SELECT user_id, event_id, attempt, CASE WHEN delivered THEN 'delivered' WHEN attempt >= 20 THEN 'delivery_failed' ELSE 'retrying' END status,
+CASE WHEN NOT delivered AND attempt < 20 THEN epoch_us(ts) // 1000000 + 60 * CAST(least(30, pow(2, attempt - 1)) AS BIGINT) END next_attempt_s FROM (
+SELECT user_id, event_id, CAST(ts AS TIMESTAMP) ts, event_id % 29 = 0 delivered, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) % 23 + 1 attempt FROM events) WHERE attempt <= 20""")
 def retry_backoff(b: Bundle):
-    return b.operation_events.select(
-        "operation_id", F.col("event_sequence").alias("attempt"), F.least(F.lit(30), F.pow(F.lit(2), F.col("event_sequence") - 1)).cast("long").alias("wait_minutes"),
-        F.when(F.col("event_sequence") >= 10, "terminal").otherwise("retry").alias("state"))
+    """Deliveries of a user's handoffs, each tried until it is delivered or has failed for good."""
+    n = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
+    tried = b.raw("events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("event_id") % 29 == 0).alias("delivered"), (n % 23 + 1).cast("long").alias("attempt"))
+    return operations.delivery(tried.where(F.col("attempt") <= operations.DELIVERY_ATTEMPTS))

@@ -39,19 +39,30 @@ def accumulated(b: Bundle):
     return proposals.accumulate(b.raw("pages").withColumn("size", F.length("html")), "url", "page_id", "size")
 
 
-LINKS = """lk AS (SELECT chunk_id from_id, CASE WHEN range_no % 4 = 0 THEN chunk_id WHEN range_no % 4 = 1 THEN 'none' ELSE lag(chunk_id) OVER (PARTITION BY conversation_id ORDER BY range_no) END to_id, 'follows' kind,
-  CASE WHEN conv_id % 3 = 0 THEN NULL WHEN conv_id % 3 = 1 THEN 1.5 ELSE 0.25 END confidence FROM ranges)"""
+LINKS = """lk0 AS (SELECT *, lag(chunk_id) OVER (PARTITION BY conversation_id ORDER BY range_no) prev, chunk_id || '#' other FROM ranges),
+lk AS (SELECT conv_id, range_no, chunk_id from_id, unnest([prev, prev, chunk_id, 'none', prev, prev]) to_id, unnest([' follows', 'follows', 'follows', 'follows', '  ', 'cites']) kind,
+  unnest([CASE WHEN conv_id % 3 = 0 THEN NULL WHEN conv_id % 3 = 1 THEN 1.5 ELSE 0.25 END, 0.75, 0.5, 0.5, 0.5, CASE WHEN range_no % 2 = 0 THEN -0.5 ELSE 1.0 END]) confidence,
+  unnest(['{"first":true}', '{"first":false}', '{}', '{}', '{}', CASE WHEN conv_id % 2 = 0 THEN '[1]' ELSE '{"n":' || range_no || '}' END]) payload, unnest([0, 1, 2, 3, 4, 5]) pos FROM lk0)"""
 
 
-@register("i30_clean_links", "SELECT from_id, to_id, kind, CAST(max(CASE WHEN confidence IS NULL OR confidence > 1 THEN 0.8 ELSE confidence END) AS DOUBLE) confidence FROM lk WHERE from_id <> to_id AND to_id <> 'none' GROUP BY 1, 2, 3", LINKS)
+@register("i30_clean_links", """SELECT from_id, to_id, trim(kind) kind, CASE WHEN starts_with(arg_min(payload, pos), '{') THEN arg_min(payload, pos) ELSE '{}' END payload,
+CAST(CASE WHEN arg_min(coalesce(confidence, -1), pos) BETWEEN 0 AND 1 THEN arg_min(coalesce(confidence, -1), pos) ELSE 0.8 END AS DOUBLE) confidence FROM lk WHERE to_id IN (SELECT chunk_id FROM ranges) AND from_id <> to_id AND trim(kind) <> '' GROUP BY 1, 2, 3""", LINKS)
 def clean_links(b: Bundle):
-    from pyspark.sql import Window
+    """Six links from every range: the same one twice, to itself, to nothing, of no kind, and of another kind with other payloads."""
+    r = b.ranges.select("conversation_id", "conv_id", "range_no", "chunk_id")
+    before = r.select("conversation_id", (F.col("range_no") + 1).alias("range_no"), F.col("chunk_id").alias("prev"))
+    r = r.join(before, ["conversation_id", "range_no"], "left")
 
-    before = F.lag("chunk_id").over(Window.partitionBy("conversation_id").orderBy("range_no"))
-    to = F.when(F.col("range_no") % 4 == 0, F.col("chunk_id")).when(F.col("range_no") % 4 == 1, "none").otherwise(before)
-    confidence = F.when(F.col("conv_id") % 3 == 1, 1.5).when(F.col("conv_id") % 3 == 2, 0.25)
-    links = b.ranges.select(F.col("chunk_id").alias("from_id"), to.alias("to_id"), F.lit("follows").alias("kind"), confidence.alias("confidence"))
-    return proposals.clean_links(links, b.ranges, "chunk_id")
+    def link(to, kind: str, confidence, payload):
+        return F.struct(to.alias("to_id"), F.lit(kind).alias("kind"), confidence.cast("double").alias("confidence"), payload.alias("payload"))
+
+    half, none = F.lit(0.5), F.lit("{}")
+    first = F.when(F.col("conv_id") % 3 == 1, 1.5).when(F.col("conv_id") % 3 == 2, 0.25)
+    other = F.when(F.col("conv_id") % 2 == 0, "[1]").otherwise(F.concat(F.lit('{"n":'), F.col("range_no").cast("string"), F.lit("}")))
+    links = F.array(link(F.col("prev"), " follows", first, F.lit('{"first":true}')), link(F.col("prev"), "follows", F.lit(0.75), F.lit('{"first":false}')), link(F.col("chunk_id"), "follows", half, none),
+                    link(F.lit("none"), "follows", half, none), link(F.col("prev"), "  ", half, none), link(F.col("prev"), "cites", F.when(F.col("range_no") % 2 == 0, -0.5).otherwise(1.0), other))
+    told = r.select(F.col("chunk_id").alias("from_id"), F.posexplode(links).alias("position", "l")).select("from_id", "position", "l.*")
+    return proposals.clean_links(told, b.ranges, "chunk_id")
 
 
 @register("i25_topic_coverage", """SELECT CASE n WHEN 0 THEN 'message_not_covered' ELSE 'message_covered_twice' END code, message_id record_id, CAST(n AS VARCHAR) message FROM (
@@ -63,14 +74,39 @@ def topic_coverage(b: Bundle):
     return proposals.uncovered(topics, b.messages)
 
 
-@register("v25_metadata_issues", """SELECT code, record_id, message FROM (SELECT CASE WHEN k NOT IN ('stage','last_successful_stage','reason_code','safe_error_code','safe_error_summary','safe_capture_reference','attempt','count') THEN 'metadata_key_not_allowed'
-WHEN regexp_matches(v, '(?i)://|\\\\|@|bearer|password|secret|token|[\\x00-\\x1f\\x7f]') THEN 'metadata_value_unsafe' END code, CAST(event_id AS VARCHAR) record_id, k message FROM (
-SELECT event_id, 'stage' k, CASE WHEN event_id % 7 = 0 THEN 'my token' ELSE event_type END v FROM events UNION ALL SELECT event_id, 'extra', 'x' FROM events WHERE event_id % 11 = 0)) WHERE code IS NOT NULL""")
+_SHA = "0" * 64
+#: Metadata by the remainder of an event's id, and the faults that it has as (code, key).
+METADATA = [
+    ('{"stage":"capture","progress_current":3,"retry_safe":true,"archive_manifest_sha256":"' + _SHA + '"}', []),
+    ('{"attempt":1}', [("metadata_key_not_allowed", "attempt")]),
+    ('{"stage":{"a":1}}', [("metadata_value_not_scalar", "stage")]),
+    ('{"message_count":-1}', [("metadata_number_required", "message_count")]),
+    ('{"message_count":1.5,"timeout_seconds":"9"}', [("metadata_number_required", "message_count"), ("metadata_number_required", "timeout_seconds")]),
+    ('{"retry_safe":"yes"}', [("metadata_boolean_required", "retry_safe")]),
+    ('{"delivery_receipt_sha256":"' + "A" * 64 + '"}', [("metadata_sha256_required", "delivery_receipt_sha256")]),
+    ('{"stage":"' + "x" * 241 + '"}', [("metadata_text_too_long", "stage")]),
+    ('{"stage":"a\\nb"}', [("metadata_text_too_long", "stage")]),
+    ('{"stage":"C:/x"}', [("metadata_private_path", "stage")]),
+    ('{"stage":"see /home/me"}', [("metadata_private_path", "stage")]),
+    ('{"reason_code":"HTTPS://x"}', [("metadata_address", "reason_code")]),
+    ('{"reason_code":"Bearer x"}', [("metadata_sensitive", "reason_code")]),
+    ('{"reason_code":"file:///etc/Cookie"}', [("metadata_private_path", "reason_code"), ("metadata_address", "reason_code"), ("metadata_sensitive", "reason_code")]),
+    ('{"safe_error_code":"boom"}', [("error_code_not_allowed", "safe_error_code")]),
+    ('{"safe_error_code":"stale_timeout","safe_error_summary":"' + proposals.ERROR_SUMMARIES["stale_timeout"] + '"}', []),
+    ('{"safe_error_code":"stale_timeout","safe_error_summary":"other"}', [("error_summary_differs", "safe_error_summary")]),
+    ('{"safe_error_summary":"other"}', [("error_summary_without_code", "safe_error_summary")]),
+    ("[1]", [("metadata_not_an_object", "")]),
+    ("{", [("metadata_not_an_object", "")]),
+    ('{"stage":null,"identity_verified":null,"message_count":null}', [("metadata_boolean_required", "identity_verified"), ("metadata_number_required", "message_count")]),
+    ('{"progress_total":9007199254740992}', [("metadata_number_required", "progress_total")]),
+    ('{"stage":"' + "é" * 240 + '","progress_total":9007199254740991}', []),
+]
+
+
+@register("v25_metadata_issues", f"""SELECT f.code, CAST(e.event_id AS VARCHAR) record_id, f.key message FROM events e JOIN (VALUES {", ".join(f"({i}, '{c}', '{k}')" for i, (_, faults) in enumerate(METADATA) for c, k in faults)}) f(n, code, key) ON e.event_id % {len(METADATA)} = f.n""")
 def metadata_issues(b: Bundle):
-    stage = F.when(F.col("event_id") % 7 == 0, "my token").otherwise(F.col("event_type"))
-    plain, more = F.create_map(F.lit("stage"), stage), F.create_map(F.lit("stage"), stage, F.lit("extra"), F.lit("x"))
-    events = b.raw("events").select(F.col("event_id").cast("string").alias("event_id"), F.when(F.col("event_id") % 11 == 0, more).otherwise(plain).alias("metadata"))
-    return proposals.metadata_issues(events, "event_id", "metadata")
+    text = F.element_at(F.array(*(F.lit(t) for t, _ in METADATA)), (F.col("event_id") % len(METADATA) + 1).cast("int"))
+    return proposals.metadata_issues(b.raw("events").select(F.col("event_id").cast("string").alias("event_id"), text.alias("metadata")), "event_id", "metadata")
 
 
 @register("c20_resolved_provenance", """SELECT e.provenance_edge_id, coalesce('source:' || s.conversation_id, 'capture:' || c.capture_version_id) source_identity FROM edges e
