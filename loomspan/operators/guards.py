@@ -5,13 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The shapes of identifiers, opaque references and hashes.
-IDENTIFIER = r"^[a-zA-Z0-9][a-zA-Z0-9._:/-]{7,127}$"
-OPAQUE = r"^[a-zA-Z0-9][a-zA-Z0-9._:-]{2,255}$"
-SHA256 = r"^[a-f0-9]{64}$"
-EXTERNAL_KEY = r"^hhs-core:(user|org|project):[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
-# Loopback addresses.
-LOOPBACK = ["127.0.0.1", "::1", "0:0:0:0:0:0:0:1", "::ffff:127.0.0.1"]
+# What follows a system's own prefix in an external key.
+EXTERNAL_KEY = r":(user|org|project):[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
 # Kinds of candidates by extraction type.
 KIND_OF_TYPE = {"decision": "decision", "requirement": "claim", "architecture_rule": "claim", "technical_finding": "claim", "sop": "sop", "task": "task",
                 "unresolved_question": "idea", "proposal": "idea", "entity": "entity", "relationship": "relationship"}
@@ -73,19 +68,15 @@ def completion_errors(counted: DataFrame) -> DataFrame:
     return counted.withColumn("errors", errors)
 
 
-def ensure_request_errors(external_key: Column, name: Column) -> Column:
-    """invalid_body, or null where both are as they must be: exact lower-case identity, no control characters, not padded, not too long."""
+def ensure_request_errors(external_key: Column, name: Column, prefix: str = "core") -> Column:
+    """invalid_body, or null where both are as they must be: exact lower-case identity after the prefix, no control characters, not padded, not too long."""
     def clean(text: Column, most: int) -> Column:
         return (F.length(text).between(1, most)) & (F.trim(text) == text) & ~text.rlike(r"[\x00-\x1f\x7f]")
 
-    good = external_key.rlike(EXTERNAL_KEY) & clean(external_key, 512) & clean(name, 256)
+    good = external_key.rlike(rf"^{prefix}{EXTERNAL_KEY}\z") & clean(external_key, 512) & clean(name, 256)
     return F.when(~F.coalesce(good, F.lit(False)), "invalid_body")
 
 
-def is_loopback(address: Column) -> Column:
-    return F.regexp_replace(F.lower(F.trim(address)), r"^\[|\]$", "").isin(LOOPBACK)
-
-
 def candidate_kind(extraction_type: Column) -> Column:
     pairs = [x for pair in KIND_OF_TYPE.items() for x in map(F.lit, pair)]
     return F.try_element_at(F.create_map(*pairs), extraction_type)

@@ -156,12 +156,6 @@ def scalar_top(b: Bundle):
     return b.captures.select("conversation_id").join(top, "conversation_id", "left")
 
 
-@register("c14_using_joins", "SELECT conversation_id, knowledge_candidate_id, to_status FROM candidates JOIN reviews USING (workspace_id, conversation_id, knowledge_candidate_id)")
-def using_joins(b: Bundle):
-    return b.candidates.select("workspace_id", "conversation_id", "knowledge_candidate_id").join(
-        b.reviews.select("workspace_id", "conversation_id", "knowledge_candidate_id", "to_status"), ["workspace_id", "conversation_id", "knowledge_candidate_id"]).drop("workspace_id")
-
-
 @register("c18_branch_parents", """SELECT a.message_id, min(p.message_id) parent_id FROM messages a JOIN messages p ON p.conversation_id = a.conversation_id AND floor(p."sequence" / 2) = floor(a."sequence" / 2) - 1 AND p.role = a.role
 GROUP BY 1 HAVING count(*) = 1""")
 def branch_parents(b: Bundle):
@@ -172,42 +166,6 @@ def branch_parents(b: Bundle):
     return both.groupBy("message_id").agg(F.count("*").alias("n"), F.min("parent_id").alias("parent_id")).where("n = 1").drop("n")
 
 
-@register("g16_classification_counts", """SELECT s classification, (SELECT count(*) FROM captures WHERE CASE WHEN conv_id % 3 = 0 THEN 'new' WHEN verification_status = 'complete' THEN 'unchanged' WHEN verification_status = 'needs_review' THEN 'needs_review' ELSE 'possibly_changed' END = s) n
-FROM (SELECT unnest(['new', 'possibly_changed', 'unchanged', 'missing', 'needs_review']) s)""")
-def classification_counts(b: Bundle):
-    status = F.col("verification_status")
-    found = F.when(F.col("conv_id") % 3 == 0, "new").when(status == "complete", "unchanged").when(status == "needs_review", "needs_review").otherwise("possibly_changed")
-    counts = b.captures.groupBy(found.alias("classification")).agg(F.count("*").alias("n"))
-    states = b.spark.createDataFrame([(s,) for s in ("new", "possibly_changed", "unchanged", "missing", "needs_review")], "classification string")
-    return states.join(counts, "classification", "left").select("classification", F.coalesce("n", F.lit(0)).alias("n"))
-
-
-@register("o6_samples", "SELECT * FROM (SELECT 'needs_review' sample, conversation_id FROM captures WHERE verification_status = 'needs_review' ORDER BY conv_id LIMIT 10) UNION ALL SELECT * FROM (SELECT 'items', conversation_id FROM captures ORDER BY conv_id LIMIT 25)")
-def samples(b: Bundle):
-    first = lambda rows, name, n: rows.orderBy("conv_id").limit(n).select(F.lit(name).alias("sample"), "conversation_id")
-    return first(b.captures.where("verification_status = 'needs_review'"), "needs_review", 10).unionByName(first(b.captures, "items", 25))
-
-
-@register("o7_bounded_listings", " UNION ALL ".join(f"SELECT * FROM (SELECT {n} bound, event_id FROM events ORDER BY ts DESC, event_id DESC LIMIT {n})" for n in (50, 100, 200, 2000)))
-def bounded_listings(b: Bundle):
-    """The newest 50, 100, 200 and 2,000 events: one ordered limit, of which the shorter listings are parts."""
-    top = b.raw("events").orderBy(F.desc("ts"), F.desc("event_id")).limit(2000).select("ts", "event_id")
-    placed = top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("ts"), F.desc("event_id"))))  # 2,000 rows
-    return placed.select(F.explode(F.filter(F.array(*map(F.lit, (50, 100, 200, 2000))), lambda n: F.col("place") <= n)).alias("bound"), "event_id")
-
-
-@register("f17_identifiers", f"""SELECT page_id, regexp_matches(url, '{guards.IDENTIFIER}') identifier, regexp_matches(url, '{guards.OPAQUE}') opaque, regexp_matches(sha256(url), '{guards.SHA256}') digest, regexp_matches('page.' || page_id, '{guards.OPAQUE}') named FROM pages""")
-def identifiers(b: Bundle):
-    return b.raw("pages").select("page_id", F.rlike("url", F.lit(guards.IDENTIFIER)).alias("identifier"), F.rlike("url", F.lit(guards.OPAQUE)).alias("opaque"),
-                                 F.rlike(hashing.sha256(F.col("url")), F.lit(guards.SHA256)).alias("digest"), F.rlike(F.concat(F.lit("page."), F.col("page_id")), F.lit(guards.OPAQUE)).alias("named"))
-
-
-@register("f20_loopback", """SELECT event_id, a IN ('127.0.0.1', '[::1]', ' ::FFFF:127.0.0.1 ', '0:0:0:0:0:0:0:1') loopback FROM (SELECT event_id, list_extract(['127.0.0.1', '[::1]', ' ::FFFF:127.0.0.1 ', '10.0.0.1', 'localhost', '0:0:0:0:0:0:0:1'], CAST(event_id % 6 + 1 AS INTEGER)) a FROM events)""")
-def loopback(b: Bundle):
-    addresses = F.array(*map(F.lit, ("127.0.0.1", "[::1]", " ::FFFF:127.0.0.1 ", "10.0.0.1", "localhost", "0:0:0:0:0:0:0:1")))
-    return b.raw("events").select("event_id", guards.is_loopback(F.element_at(addresses, (F.col("event_id") % 6 + 1).cast("int"))).alias("loopback"))
-
-
 @register("f12_sanitized_output")
 def sanitized_output(b: Bundle):
     """Whole texts; a negative lookahead has no DuckDB counterpart, so literal cases are tested."""
@@ -231,7 +189,7 @@ def capture_references(b: Bundle):
 def ensure_requests(b: Bundle):
     h, k = F.sha2(F.col("c_custkey").cast("string"), 256), F.col("c_custkey") % 5
     uuid = F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4), F.substring(h, 17, 4), F.substring(h, 21, 12))
-    key = F.concat(F.when(k == 1, "hhs-core:team:").otherwise("hhs-core:user:"), F.when(k == 2, F.concat(F.lit("A"), F.substring(uuid, 2, 40))).otherwise(uuid))
+    key = F.concat(F.when(k == 1, "core:team:").otherwise("core:user:"), F.when(k == 2, F.concat(F.lit("A"), F.substring(uuid, 2, 40))).otherwise(uuid))
     name = F.when(k == 3, F.concat(F.lit(" "), F.col("c_name"))).when(k == 4, F.concat(F.col("c_name"), F.lit("\t-"))).otherwise(F.col("c_name"))
     return b.raw("customer").select("c_custkey", guards.ensure_request_errors(key, name).alias("error"))
 

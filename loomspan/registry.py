@@ -15,6 +15,8 @@ ORACLES: dict[str, str] = {}
 def register(name: str, oracle: str | None = None, ctes: str = ""):
     """Register a function of a Bundle; the oracle is a SELECT over the model's common table expressions."""
     def put(plan: Callable[[Bundle], DataFrame]) -> Callable[[Bundle], DataFrame]:
+        if name in QUERIES:
+            raise ValueError(f"{name} is registered twice")
         QUERIES[name] = lambda spark, sf_dir: plan(Bundle(spark, sf_dir))
         if oracle:
             ORACLES[name] = PRELUDE + (", " + ctes if ctes else "") + oracle
