@@ -5,9 +5,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import KINDS, Bundle
+from ..operators import workspaces
 from ..operators.validators import issues, union
 from ..registry import register
-from ..shared import new_path
+from ..shared import new_path, written
 from ..sinks.versions import Store
 from ..streaming import ingest_stream
 
@@ -159,3 +160,20 @@ def resumed_ingestion(b: Bundle):
             if "InterruptedError" not in str(error):
                 raise
     return store.table("chunks").groupBy("conversation_id").agg(F.count("*").alias("chunks"), F.sum("n_messages").alias("messages"), F.max("end_sequence").alias("last_sequence"))
+
+
+@register("i28_ensured_workspaces", """SELECT r.n AS batch, request_id, CASE WHEN k < 8 THEN 'name 1' END AS name, k < 8 AND r.n = 1 AND copy = 0 created,
+CASE WHEN k >= 8 THEN 'invalid_body' END error FROM (VALUES (1), (2)) r(n), (SELECT c_custkey, c_custkey % 10 k, copy, c_custkey || ':' || copy request_id FROM customer, (VALUES (0), (1)) t(copy))""")
+def ensured_workspaces(b: Bundle):
+    """Every customer asks twice in a batch, and again in a second one by another name; a fifth of the requests have no proper key or name."""
+    store, k = _store(b, "workspaces"), F.col("c_custkey") % 10
+    h = F.sha2(F.col("c_custkey").cast("string"), 256)
+    uuid = F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4), F.substring(h, 17, 4), F.substring(h, 21, 12))
+    asked = b.raw("customer").withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))).select(
+        F.concat_ws(":", "c_custkey", "copy").alias("request_id"), F.col("copy").alias("place"), F.concat(F.when(k == 8, "core:team:").otherwise("core:user:"), uuid).alias("external_key"), k.alias("k"))
+    told = []
+    for batch in (1, 2):
+        name = F.when(F.col("k") == 9, F.lit(" padded")).otherwise(F.lit(f"name {batch}"))
+        outcomes = workspaces.ensure(store, f"batch:{batch}", asked.withColumn("name", name).drop("k"))
+        told.append(written(outcomes.select(F.lit(batch).alias("batch"), "request_id", "name", "created", "error"), "ensured"))
+    return union(*told)
