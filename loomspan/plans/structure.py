@@ -1,12 +1,11 @@
 """Tree, splitting, streaming and HTML queries."""
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from ..model import Bundle
-from ..operators import operations, splitting, trees
+from ..operators import operations, paths, splitting, trees
 from ..registry import register
+from ..shared import new_path
 from ..sources import html
 from ..streaming import operation_stream
 from .operation_log import FOLD
@@ -34,14 +33,15 @@ def preorder(b: Bundle):
 @register("i2_active_path", """SELECT conversation_id, node_id FROM (WITH RECURSIVE t AS (SELECT conversation_id, node_id, p FROM nodes WHERE cur
 UNION ALL SELECT n.conversation_id, n.node_id, n.p FROM nodes n JOIN t ON t.conversation_id = n.conversation_id AND n.s = t.p) SELECT * FROM t)""", TREE)
 def active_path(b: Bundle):
-    return trees.walk(_nodes(b)).where("on_active_path").select("conversation_id", "node_id")
+    nodes = _nodes(b)
+    return paths.ancestors(paths.levels(nodes), nodes.select("conversation_id", F.col("current_node").alias("node_id")))
 
 
 @register("i3_message_ancestor", """SELECT a.conversation_id, a.node_id, n.node_id message_ancestor FROM (WITH RECURSIVE t AS (SELECT conversation_id, node_id, p AS up FROM nodes
 UNION ALL SELECT t.conversation_id, t.node_id, n.p FROM t JOIN nodes n ON n.conversation_id = t.conversation_id AND n.s = t.up WHERE t.up % 3 = 1)
 SELECT conversation_id, node_id, max(up) FILTER (WHERE up % 3 <> 1) anc FROM t GROUP BY ALL) a LEFT JOIN nodes n ON n.conversation_id = a.conversation_id AND n.s = a.anc""", TREE)
 def message_ancestor(b: Bundle):
-    return trees.walk(_nodes(b)).select("conversation_id", "node_id", "message_ancestor")
+    return paths.message_ancestors(_nodes(b))
 
 
 @register("i12_split_by_size", """SELECT conversation_id, s AS "sequence", no chunk_no, n > 700 oversize FROM (WITH RECURSIVE z AS (SELECT conversation_id, "sequence" s, length(text) n FROM messages),
@@ -57,7 +57,7 @@ JOIN ev e ON e.operation_id = f.operation_id AND e.event_sequence = f.n_events""
 def streamed_fold(b: Bundle):
     """The log as files, read as a stream and folded with state; the last state of each operation."""
     spark = b.spark
-    root = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="loomspan-")) + f"/stream-{spark.sparkContext.applicationId}-{id(b)}"
+    root = new_path(spark, "log")
     b.operation_events.repartition(3, "event_sequence").write.parquet(f"{root}/in")
     events = spark.readStream.schema(b.operation_events.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
 

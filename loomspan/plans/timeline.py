@@ -73,10 +73,13 @@ def round_robin(b: Bundle):
     return _captures(b).withColumn("bucket", bucket).select("capture_version_id", "bucket", n.cast("long").alias("rn")).orderBy("rn", "bucket").limit(20)
 
 
-@register("w1_range_gaps", "SELECT conversation_id, range_no, prev_end, start_sequence FROM (SELECT *, lag(end_sequence) OVER (PARTITION BY conversation_id ORDER BY start_sequence) prev_end FROM ranges WHERE range_no % 3 <> 1) WHERE prev_end IS NOT NULL AND start_sequence <> prev_end + 1")
+@register("w1_range_gaps", """SELECT conversation_id, range_no, prev_end, start_sequence FROM (SELECT *, lag(end_sequence) OVER (PARTITION BY conversation_id ORDER BY start_sequence) prev_end FROM (
+SELECT conversation_id, "sequence" // 2 range_no, min("sequence") start_sequence, max("sequence") end_sequence FROM messages GROUP BY 1, 2) WHERE range_no % 3 <> 1) WHERE prev_end IS NOT NULL AND start_sequence <> prev_end + 1""")
 def range_gaps(b: Bundle):
+    """Ranges of two messages, of which every third is missing."""
     w = Window.partitionBy("conversation_id").orderBy("start_sequence")
-    return b.ranges.where("range_no % 3 <> 1").withColumn("prev_end", F.lag("end_sequence").over(w)) \
+    ranges = b.messages.groupBy("conversation_id", F.floor(F.col("sequence") / 2).alias("range_no")).agg(F.min("sequence").alias("start_sequence"), F.max("sequence").alias("end_sequence"))
+    return ranges.where("range_no % 3 <> 1").withColumn("prev_end", F.lag("end_sequence").over(w)) \
         .where("prev_end is not null and start_sequence <> prev_end + 1").select("conversation_id", "range_no", "prev_end", "start_sequence")
 
 
