@@ -98,12 +98,15 @@ def verdicts(b: Bundle):
     return validators.verdict(rows, "conversation_id")
 
 
-@register("g6_duplicate_statements", """SELECT k, n, ids FROM (SELECT trim(regexp_replace(lower(value), '\\s+', ' ', 'g')) k, count(*) n, sha256(string_agg(content_block_id, ',' ORDER BY content_block_id)) ids FROM blocks GROUP BY 1) WHERE n > 1""")
+@register("g6_duplicate_statements", """SELECT k, n, first_id, id_sum FROM (SELECT trim(regexp_replace(lower(value), '\\s+', ' ', 'g')) k, count(*) n, min(content_block_id) first_id,
+CAST(sum(CAST('0x' || substr(content_block_id, 15, 12) AS BIGINT)) AS BIGINT) id_sum FROM blocks GROUP BY 1) WHERE n > 1 AND k <> ''""")
 def duplicate_statements(b: Bundle):
+    """Statements that stand in several blocks, with the first of them and the sum of their ids: no list of ids, as one text may be in a third of all blocks."""
     from ..functions.textops import normalized
 
-    g = b.blocks.withColumn("k", normalized(F.col("value"))).groupBy("k").agg(F.count("*").alias("n"), F.expr("sha2(listagg(content_block_id, ',') WITHIN GROUP (ORDER BY content_block_id), 256)").alias("ids"))
-    return g.where("n > 1").select("k", "n", "ids")
+    number = F.conv(F.substring("content_block_id", 15, 12), 16, 10).cast("long")
+    g = b.blocks.withColumn("k", normalized(F.col("value"))).where("k <> ''").groupBy("k").agg(F.count("*").alias("n"), F.min("content_block_id").alias("first_id"), F.sum(number).alias("id_sum"))
+    return g.where("n > 1")
 
 
 @register("g20_quality_audit", """SELECT (SELECT count(*) FROM candidates) candidates, (SELECT count(*) FROM candidates c WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.knowledge_candidate_id = c.knowledge_candidate_id)) without_evidence,

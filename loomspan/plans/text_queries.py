@@ -142,5 +142,5 @@ def full_text(b: Bundle):
     """Blocks that have all lexemes of a query; the stemmer has no SQL counterpart."""
     from ..functions.lexemes import english_lexemes, matches
 
-    return b.blocks.select("content_block_id", english_lexemes("value").alias("lexemes")).where(matches(F.col("lexemes"), "reading the lines")) \
+    return b.blocks.select("content_block_id", english_lexemes("value").alias("lexemes")).where(matches(F.col("lexemes"), "the thtions")) \
         .select("content_block_id", F.size("lexemes").alias("n_lexemes"))

@@ -70,7 +70,8 @@ SELECT *, source_family || ':' || CASE WHEN content_characters < 5000 THEN 'shor
 def round_robin(b: Bundle):
     bucket = F.concat_ws(":", "source_family", length_bucket(F.col("content_characters")))
     n = F.row_number().over(Window.partitionBy("bucket").orderBy("captured_s", "capture_version_id"))
-    return _captures(b).withColumn("bucket", bucket).select("capture_version_id", "bucket", n.cast("long").alias("rn")).orderBy("rn", "bucket").limit(20)
+    return _captures(b).withColumn("bucket", bucket).select("capture_version_id", "bucket", n.alias("rn")).where("rn <= 20") \
+        .withColumn("rn", F.col("rn").cast("long")).orderBy("rn", "bucket").limit(20)
 
 
 @register("w1_range_gaps", """SELECT conversation_id, range_no, prev_end, start_sequence FROM (SELECT *, lag(end_sequence) OVER (PARTITION BY conversation_id ORDER BY start_sequence) prev_end FROM (

@@ -2,11 +2,14 @@
 
 import glob
 import os
+import re
 
 import duckdb
 import pytest
 
 from loomspan import registry
+from loomspan.functions.lexemes import stem
+from loomspan.model import Bundle
 
 
 @pytest.fixture(scope="module")
@@ -40,6 +43,18 @@ def test_query_equals_oracle(spark, duck, sf, name):
 
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
 def test_query_without_oracle_runs(spark, sf, name):
-    """Executed, not only planned."""
+    """Executed, not only planned, and with rows."""
     found = registry.QUERIES[name](spark, sf)
-    assert found.columns and found.count() >= 0
+    assert found.columns and found.count() > 0
+
+
+def test_full_text_finds_the_stem(spark, sf):
+    """The query's words are a stop word and a plural: blocks with a word of the same stem are found, and no others."""
+    found = {r.content_block_id for r in registry.QUERIES["p12_full_text"](spark, sf).collect()}
+    blocks = Bundle(spark, sf).blocks.select("content_block_id", "value").collect()
+    assert found == {r.content_block_id for r in blocks if "thtion" in map(stem, re.findall(r"[a-z]+", r.value.lower()))} != set()
+
+
+def test_names_are_registered_once():
+    with pytest.raises(ValueError):
+        registry.register("p12_full_text")(lambda b: None)
