@@ -123,7 +123,7 @@ def sidebar_rows(b: Bundle):
 
 @register("a15_sidebar_inventories", """SELECT 'inventory_' || s.a inventory_id, CASE WHEN w = '' THEN 'complete' ELSE 'needs_review' END status, n_rows, collisions, w warnings FROM (
 SELECT s.a, n_rows, collisions, concat_ws(',', CASE WHEN s.a = 3 AND bottom > 2 THEN 'latest_sidebar_boundary_not_reached' END,
-  CASE WHEN s.a = 5 OR s.a = 2 AND bottom > 50 THEN 'earliest_sidebar_boundary_not_verified,sidebar_scrolling_did_not_stabilize,sidebar_observation_count_did_not_stabilize' END,
+  CASE WHEN s.a = 5 AND bottom > 0 OR s.a = 2 AND bottom > 50 THEN 'earliest_sidebar_boundary_not_verified,sidebar_scrolling_did_not_stabilize,sidebar_observation_count_did_not_stabilize' END,
   CASE WHEN collisions > 0 THEN 'conversation_identity_collisions:' || collisions END, CASE WHEN s.a = 6 AND bottom > 102 THEN 'initial_sidebar_position_not_restored' END) w
 FROM sizes s JOIN (SELECT a, count(DISTINCT conv_id) n_rows, count(*) FILTER (WHERE title <> first) collisions FROM (SELECT *, first_value(title) OVER (PARTITION BY a, conv_id ORDER BY "pass") first FROM look) GROUP BY 1) c ON c.a = s.a) s""", SIDEBAR)
 def sidebar_inventories(b: Bundle):
