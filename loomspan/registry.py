@@ -25,4 +25,4 @@ def register(name: str, oracle: str | None = None, ctes: str = ""):
     return put
 
 
-from .plans import append_queries, capture_queries, changes, comparison_queries, discovery_queries, extraction_queries, gates, intent_queries, knowledge, ledger, listings, observations, operation_log, proposal_queries, quality_checks, rules, source_queries, structure, text_queries, timeline, transactions  # noqa: E402, F401
+from .plans import append_queries, capture_queries, changes, comparison_queries, discovery_queries, extraction_queries, gates, intent_queries, knowledge, ledger, listings, observations, operation_log, proposal_queries, quality_checks, review_queries, rules, source_queries, structure, text_queries, timeline, transactions  # noqa: E402, F401
