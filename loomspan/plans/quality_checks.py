@@ -1,5 +1,9 @@
 """Validators and audits over the model; some run over tables with injected faults."""
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..model import Bundle
@@ -98,15 +102,35 @@ def verdicts(b: Bundle):
     return validators.verdict(rows, "conversation_id")
 
 
-@register("g6_duplicate_statements", """SELECT k, n, first_id, id_sum FROM (SELECT trim(regexp_replace(lower(value), '\\s+', ' ', 'g')) k, count(*) n, min(content_block_id) first_id,
-CAST(sum(CAST('0x' || substr(content_block_id, 15, 12) AS BIGINT)) AS BIGINT) id_sum FROM blocks GROUP BY 1) WHERE n > 1 AND k <> ''""")
+def _id_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(k, n, ids) of (k, content_block_id) rows sorted by both: the number of ids and the hash of their list, of texts that stand more than once."""
+    text, n, digest = None, 0, hashlib.sha256()
+    for batch in batches:
+        told = []
+        for k, block in zip(batch.column("k").to_pylist(), batch.column("content_block_id").to_pylist()):
+            if k != text:
+                if n > 1:
+                    told.append((text, n, digest.hexdigest()))
+                text, n, digest = k, 0, hashlib.sha256()
+            digest.update(("," + block if n else block).encode())
+            n += 1
+        yield _digest_rows(told)
+    yield _digest_rows([(text, n, digest.hexdigest())] if n > 1 else [])
+
+
+def _digest_rows(told: list[tuple]) -> pa.RecordBatch:
+    k, n, ids = zip(*told) if told else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(k, pa.string()), pa.array(n, pa.int64()), pa.array(ids, pa.string())], ["k", "n", "ids"])
+
+
+@register("g6_duplicate_statements", """SELECT k, n, ids FROM (SELECT trim(regexp_replace(lower(value), '\\s+', ' ', 'g')) k, count(*) n, sha256(string_agg(content_block_id, ',' ORDER BY content_block_id)) ids FROM blocks GROUP BY 1) WHERE n > 1""")
 def duplicate_statements(b: Bundle):
-    """Statements that stand in several blocks, with the first of them and the sum of their ids: no list of ids, as one text may be in a third of all blocks."""
+    """Statements that stand in several blocks, empty ones too, with the hash of their blocks' ids in order.  The ids are hashed as a sorted stream: no list of them is
+    gathered, as one text may be in a third of all blocks.  That text's stream is one task's, as the hash of one list can only be taken in order."""
     from ..functions.textops import normalized
 
-    number = F.conv(F.substring("content_block_id", 15, 12), 16, 10).cast("long")
-    g = b.blocks.withColumn("k", normalized(F.col("value"))).where("k <> ''").groupBy("k").agg(F.count("*").alias("n"), F.min("content_block_id").alias("first_id"), F.sum(number).alias("id_sum"))
-    return g.where("n > 1")
+    rows = b.blocks.select(normalized(F.col("value")).alias("k"), "content_block_id")
+    return rows.repartition("k").sortWithinPartitions("k", "content_block_id").mapInArrow(_id_digests, "k string, n long, ids string")
 
 
 @register("g20_quality_audit", """SELECT (SELECT count(*) FROM candidates) candidates, (SELECT count(*) FROM candidates c WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.knowledge_candidate_id = c.knowledge_candidate_id)) without_evidence,

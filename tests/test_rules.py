@@ -1,12 +1,15 @@
 """Rules over literal rows: every code of the completion rules, guards, and sanitized output."""
 
+import hashlib
+from types import SimpleNamespace
+
 import pytest
 from pyspark.sql import functions as F
 
 from loomspan.functions import textops
 from loomspan.model import Bundle
 from loomspan.operators import guards
-from loomspan.plans import rules
+from loomspan.plans import quality_checks, rules
 
 
 @pytest.mark.parametrize("text, want", [
@@ -35,3 +38,18 @@ def test_guards_name_the_first_error(spark):
     names = ", ".join(f"{side}_{c} {'long' if c == 'progress' else 'string'}" for side in ("old", "new") for c in row)
     found = {r.row_id: r.error for r in guards.guarded(spark.createDataFrame(rows, f"kind string, row_id long, {names}")).collect()}
     assert [found.get(i) for i in range(len(cases))] == [e for _, _, e in cases]
+
+
+def test_every_repeated_statement_is_told_with_all_its_ids(spark):
+    """Empty statements count; the hash covers each id of a text, in order, also where the text goes on in the next batch of rows."""
+    values = ["", "One  two", "one two ", "", "alone", "", *["many"] * 700]
+    rows = [(f"content_block_{i * 7919 % 1000:03}", v) for i, v in enumerate(values)]
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+    try:
+        blocks = SimpleNamespace(blocks=spark.createDataFrame(rows, "content_block_id string, value string"))
+        found = {r.k: (r.n, r.ids) for r in quality_checks.duplicate_statements(blocks).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    want = {k: sorted(i for i, v in rows if " ".join(v.lower().split()) == k) for k in ("", "one two", "many")}
+    assert found == {k: (len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest()) for k, ids in want.items()}
