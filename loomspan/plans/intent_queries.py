@@ -1,5 +1,7 @@
 """Recapture intents over the commands of every user's events: folded in batch, and as a stream with timers."""
 
+from itertools import pairwise
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from ..shared import new_path
 from ..streaming import intent_stream
 
 LATE_S = 600
+#: How often the stream of `i23_streamed_intents` runs: its cost beside the commands' own does not grow with the time that they cover.
+RUNS = 3
 _PATH = ("create", "verify", "confirm", "begin", "archive_written", "archive_verified", "comparing", "catalog_committed", "complete")
 #: Remainders of an event's id by 23, and the command that it becomes instead.
 _INSTEAD = {2: "cancel", 3: "cancel", 4: "needs_review", 5: "failed", 6: "verify", 9: "create", 10: "cancelled"}
@@ -95,16 +99,21 @@ def expired_intents(b: Bundle):
 
 @register("i23_streamed_intents", "SELECT workflow_id, n, at_s, intent_id, command, state, error FROM outcomes", COMMANDS)
 def streamed_intents(b: Bundle):
-    """The same commands as files of ten minutes each, a tenth of them one file late and a tenth told twice, folded with state and timers."""
+    """The same commands as files of ten minutes each, a tenth of them one file late and a tenth told twice, folded with state and timers.
+
+    The stream runs RUNS times, each time over the files of an equal share of the whole time that have come since, and takes up its state where it stopped.
+    """
     spark, root = b.spark, new_path(b.spark, "intent-stream")
     told = commands(b).withColumn("slot", F.floor((F.col("at_s") - EPOCH) / LATE_S) + (F.col("n") % 10 == 3).cast("long"))
-    told.write.parquet(f"{root}/commands")
-    told = spark.read.parquet(f"{root}/commands")
-    for slot in range(told.agg(F.max("slot")).first()[0] + 1):
-        part = told.where(F.col("slot") == slot).drop("slot")
-        part.unionByName(part.where("n % 10 = 5")).coalesce(1).write.mode("append").parquet(f"{root}/in")
-    stream = spark.readStream.schema(intents.COMMANDS).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    told = told.withColumn("copy", F.explode(F.when(F.col("n") % 10 == 5, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).drop("copy")
+    share = F.pmod(F.hash("workflow_id"), F.lit(spark.sparkContext.defaultParallelism))
+    told.repartition("slot", share).write.partitionBy("slot").parquet(f"{root}/commands")
+    told = spark.read.schema(told.schema).parquet(f"{root}/commands")
+    slots = (told.agg(F.max("slot")).first()[0] or 0) + 1
     with intent_stream.rocksdb(spark):
-        intent_stream.outcome_stream(stream, f"{LATE_S} seconds").writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state") \
-            .trigger(availableNow=True).start().awaitTermination()
+        for first, after in pairwise(sorted({slots * k // RUNS for k in range(RUNS + 1)})):
+            told.where((F.col("slot") >= first) & (F.col("slot") < after)).repartition("slot", share).write.mode("append").partitionBy("slot").parquet(f"{root}/in")
+            stream = spark.readStream.schema(told.schema).parquet(f"{root}/in").drop("slot")
+            intent_stream.outcome_stream(stream, f"{LATE_S} seconds").writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state") \
+                .trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(intents.OUTCOMES).parquet(f"{root}/out")

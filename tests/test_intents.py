@@ -1,8 +1,11 @@
 import random
+from datetime import datetime, timedelta
 
 import pytest
 
+from loomspan import registry
 from loomspan.operators import intents
+from loomspan.plans import intent_queries
 from loomspan.streaming import intent_stream
 
 PATH = ("create", "verify", "confirm", "begin", "archive_written", "archive_verified", "comparing", "catalog_committed", "complete")
@@ -88,3 +91,15 @@ def test_replayed_stream_equals_the_fold(spark, tmp_path):
     found = sorted(map(tuple, spark.read.schema(intents.OUTCOMES).parquet(str(tmp_path / "out")).collect()), key=repr)
     assert found == sorted(map(tuple, intents.fold(spark.createDataFrame(rows, intents.COMMANDS), now).collect()), key=repr)
     assert {r[5] for r in found} >= {"expired", "cancelled", "authorized", "capturing"} and {r[6] for r in found} >= {"cooldown_active", "identity_mismatch", "confirmation_required"}
+
+
+def test_batches_of_the_streamed_query_do_not_grow_with_its_time(spark, tmp_path, monkeypatch):
+    """Two users over some twenty files of ten minutes: as many runs as stated, and the outcomes of the fold."""
+    rows = [(i, i % 2, datetime(2024, 1, 1) + timedelta(seconds=i)) for i in range(800)]
+    spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp_ntz").write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(intent_queries, "new_path", lambda spark, name: f"{tmp_path}/{name}")
+    found = registry.QUERIES["i23_streamed_intents"](spark, str(tmp_path)).collect()
+    assert len(list(tmp_path.glob("intent-stream/in/slot=*"))) > 10
+    assert len([x for x in (tmp_path / "intent-stream/state/offsets").iterdir() if x.name.isdigit()]) <= 2 * 3
+    want = registry.QUERIES["i23_intent_outcomes"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, found), key=repr) == sorted(map(tuple, want), key=repr)
