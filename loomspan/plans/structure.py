@@ -8,6 +8,7 @@ from ..registry import register
 from ..shared import new_path
 from ..sources import html
 from ..streaming import operation_stream
+from ..streaming.intent_stream import rocksdb
 from .operation_log import FOLD
 
 TREE = """nodes AS (SELECT conversation_id, message_id node_id, "sequence" s, CASE WHEN "sequence" > 0 THEN ("sequence" - 1) // 2 END p, "sequence" = max("sequence") OVER (PARTITION BY conversation_id) cur FROM messages)"""
@@ -55,16 +56,19 @@ def split_by_size(b: Bundle):
 FROM (SELECT operation_id, arg_max(status, seen) status, max(error) error, max(seen) n_events FROM walk GROUP BY 1) f
 JOIN ev e ON e.operation_id = f.operation_id AND e.event_sequence = f.n_events""", FOLD)
 def streamed_fold(b: Bundle):
-    """The log as files, read as a stream and folded with state; the last state of each operation."""
+    """The log as files, of every third number each, read as a stream in three batches and folded with state; the last state of each operation."""
     spark = b.spark
-    root = new_path(spark, "log")
-    b.operation_events.repartition(3, "event_sequence").write.parquet(f"{root}/in")
-    events = spark.readStream.schema(b.operation_events.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    root, tasks = new_path(spark, "log"), spark.sparkContext.defaultParallelism
+    part = F.col("event_sequence") % 3
+    b.operation_events.withColumn("third", part).repartition(3 * tasks, "third", F.pmod(F.hash("operation_id"), F.lit(tasks))).drop("third").write.parquet(f"{root}/in")
+    files = spark.read.parquet(f"{root}/in").select(F.input_file_name().alias("f")).distinct().count()
+    events = spark.readStream.schema(b.operation_events.schema).option("maxFilesPerTrigger", max(1, -(-files // 3))).parquet(f"{root}/in")
 
     def put(batch, number):
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{root}/out/part={number}")
 
-    operation_stream.fold_stream(events).writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    with rocksdb(spark):
+        operation_stream.fold_stream(events).writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
     rows = spark.read.parquet(f"{root}/out").groupBy("operation_id").agg(F.max_by(F.struct("status", "error", "n_events", "last_event_type"), "batch").alias("s"))
     return rows.select("operation_id", "s.*")
 

@@ -2,40 +2,31 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from ..operators.operations import TERMINAL, TRANSITIONS
-
-OUT = "operation_id string, status string, error string, n_events long, last_event_type string"
-_STATE = "status string, error string, seen long, last string, waiting string"
-
 
-def _advance(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Fold one operation's new events in order; events that come early wait in the state, repeated ones are replays."""
-    status, error, seen, last, waiting = state.get if state.exists else ("", None, 0, None, "")
-    held = dict(x.split("=", 1) for x in waiting.split(";") if x)
-    for batch in batches:
-        held.update((str(int(n)), e) for n, e in zip(batch["event_sequence"], batch["event_type"]) if n > seen)
-    while (event := held.pop(str(seen + 1), None)) is not None:
-        seen, last = seen + 1, event
-        if error is None:
-            states, to = TRANSITIONS.get(event, ((), ""))
-            if status in states:
-                status = to
-            else:
-                error = f"invalid_transition:{event}"
-    state.update((status, error, seen, last, ";".join(f"{k}={v}" for k, v in held.items())))
-    yield pd.DataFrame({"operation_id": [key[0]], "status": [status], "error": [error], "n_events": [seen], "last_event_type": [last]})
+from ..operators.operations import TERMINAL, transition_map
 
 
 def fold_stream(events: DataFrame) -> DataFrame:
-    """The state of every operation that a micro-batch touched; update mode."""
-    return events.groupBy("operation_id").applyInPandasWithState(_advance, OUT, _STATE, "update", GroupStateTimeout.NoTimeout)
+    """(operation_id, status, error, n_events, last_event_type) of every operation that a micro-batch touched; update mode.
+
+    The state of an operation is its own short log, in the order it came in; it is folded like `operations.fold`, as far as its numbers have no gap.
+    Events that come early wait in the log.  Of events of one number the first that came counts, the others are replays.
+    """
+    table = transition_map()
+    logs = events.groupBy("operation_id").agg(F.collect_list(F.struct("event_sequence", "event_type")).alias("log"))
+    numbered = F.array_sort(F.transform("log", lambda e, i: F.struct(e["event_sequence"].alias("n"), i.alias("place"), e["event_type"].alias("event"))))
+    start = F.struct(F.lit("").alias("status"), F.lit(None).cast("string").alias("error"), F.lit(0).cast("long").alias("seen"), F.lit(None).cast("string").alias("last"))
+
+    def advance(state: Column, e: Column) -> Column:
+        to = F.try_element_at(table, F.concat(state["status"], F.lit(">"), e["event"]))
+        error = F.coalesce(state["error"], F.when(to.isNull(), F.concat_ws("", F.lit("invalid_transition:"), e["event"])))
+        return F.when(e["n"] == state["seen"] + 1, F.struct(F.when(error.isNull(), to).otherwise(state["status"]).alias("status"), error.alias("error"), (state["seen"] + 1).alias("seen"), e["event"].alias("last"))) \
+            .otherwise(state)
+
+    return logs.withColumn("s", F.aggregate(numbered, start, advance)).select(
+        "operation_id", F.col("s.status").alias("status"), F.col("s.error").alias("error"), F.col("s.seen").alias("n_events"), F.col("s.last").alias("last_event_type"))
 
 
 def windowed_counts(events: DataFrame, ts: str, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:

@@ -77,6 +77,16 @@ def test_stream_waits_for_early_events_and_ignores_replays(spark, tmp_path):
     assert (last.status, last.error, last.n_events) == ("prepared", None, 5)
 
 
+def test_of_early_events_of_one_number_the_first_that_came_counts(spark, tmp_path):
+    for part in ([(2, "pairing_requested")], [(2, "capture_failed")], [(1, "operation_created")]):
+        log(spark, ("k", part)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    query = operation_stream.fold_stream(stream).writeStream.outputMode("update").format("memory").queryName("first_test").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    query.awaitTermination()
+    last = max(spark.table("first_test").collect(), key=lambda r: r.n_events)
+    assert (last.status, last.error, last.n_events, last.last_event_type) == ("pairing", None, 2, "pairing_requested")
+
+
 def test_windowed_counts_and_replay_removal_run_as_streams(spark, sf, tmp_path):
     events = spark.readStream.schema(spark.read.parquet(f"{sf}/events.parquet").schema).parquet(f"{sf}/events*.parquet")
     query = operation_stream.windowed_counts(events, "ts").writeStream.outputMode("append").format("memory").queryName("windows_test").option("checkpointLocation", f"{tmp_path}/w").trigger(availableNow=True).start()
