@@ -17,7 +17,7 @@ The boundary is where enumerating subsets starts to cost more than scanning
 lists of the mean length that the shingle counts foretell.  Equal sets are one
 node throughout.  A list longer than `SHORT` first links its members to their
 neighbours and to the list's first; lists of one kind with the same first are then one, and
-only members that are still in different groups are compared pair by pair.  Every candidate is verified on whole sets.
+their members are compared pair by pair, so that no link within a group is left out.  Every candidate is verified on whole sets.
 
 Empty and null texts have no shingles and link with nothing.  Rows without a
 doc_id cannot be named by a link and are left out.  Rows that repeat a doc_id
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from . import bitmap
 from .arrowtext import batch_words, chunks, mix, signed
-from .components import components, joined
+from .components import components
 from .scratch import Table, small_batches
 
 WORDS = 5
@@ -247,14 +247,14 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from flush(True)
 
 
-def _across(lists: DataFrame) -> DataFrame:
-    """Pairs (a, b) of members of long lists that lie in different groups and may link there: a join, which Spark splits where a list is very long."""
-    parts = lists.select("key", "fp", "g", F.shiftright("place", _ROLE_BITS + _SIZE_BITS).alias("r"),
+def _within(lists: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members of long lists that may link there: a join, which Spark splits where a list is very long."""
+    parts = lists.select("key", "fp", F.shiftright("place", _ROLE_BITS + _SIZE_BITS).alias("r"),
                          F.shiftright("place", _ROLE_BITS).bitwiseAND((1 << _SIZE_BITS) - 1).alias("n"), F.col("place").bitwiseAND(3).alias("role"))
     one, two = (parts.select(*[F.col(c).alias(c + end) for c in parts.columns]) for end in "12")
-    may = (F.col("g1") < F.col("g2")) & ((F.col("role1") != 1) | (F.col("role2") != 1)) & \
+    may = (F.col("fp1") < F.col("fp2")) & ((F.col("role1") != 1) | (F.col("role2") != 1)) & \
         (F.least(F.col("n1") - F.col("r1"), F.col("n2") - F.col("r2")) * (NUM + DEN) >= NUM * (F.col("n1") + F.col("n2")))
-    return one.join(two, (F.col("key1") == F.col("key2")) & may).select(F.least("fp1", "fp2").alias("a"), F.greatest("fp1", "fp2").alias("b")).distinct()
+    return one.join(two, (F.col("key1") == F.col("key2")) & may).select(F.col("fp1").alias("a"), F.col("fp2").alias("b"))
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,7 +332,7 @@ def ngram_jaccard_groups(documents: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) of every row with a doc_id.
 
     component_id is the smallest doc_id reachable by links.  n_links counts the
-    distinct other shingle sets that were found directly linked.
+    distinct other shingle sets that link to this one; equal sets are one.
     """
     spark = documents.sparkSession
     small_batches(spark)
@@ -351,25 +351,16 @@ def ngram_jaccard_groups(documents: DataFrame) -> DataFrame:
     postings = docs.select("text", "doc_id").mapInArrow(_post(light, frequent), "key long, fp long, place long")
     scanned = Table(postings.repartition("key").sortWithinPartitions("key", "place", "fp")
                     .mapInArrow(_scan, "kind byte, a long, b long, place long"), "scanned")
-    pairs = Table(scanned.df.where("kind = 0").select("a", "b").distinct(), "pairs")
-    links = _linked(pairs.df, docs, nodes, "links")
-    first = components(links.df)
-
-    groups = F.coalesce("component", "fp").alias("g")
     # lists of one kind (subsets or inverted) with the same first set are one from here on, as near copies share many lists;
     # each member keeps its least place, which within one kind has one role
     kind = F.struct(F.col("b").alias("first"), (F.col("place").bitwiseAND(3) == 0).alias("subset"))
-    open_lists = scanned.df.where("kind = 1").groupBy(kind.alias("key"), F.col("a").alias("fp")).agg(F.min("place").alias("place")) \
-        .join(first.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", "place", groups)
-    mixed = open_lists.groupBy("key").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("key")
-    lists = Table(open_lists.join(mixed, "key", "left_semi"), "lists")
-    cross = _across(lists.df).join(pairs.df, ["a", "b"], "left_anti")
-    cross = Table(cross, "cross")
-    further = _linked(cross.df, docs, nodes, "links").df
-    more = links.df.unionByName(further)
-
-    group = components(joined(first, further))
-    degree = more.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n_links"))
+    lists = Table(scanned.df.where("kind = 1").groupBy(kind.alias("key"), F.col("a").alias("fp")).agg(F.min("place").alias("place")), "lists")
+    pairs = Table(scanned.df.where("kind = 0").select("a", "b").unionByName(_within(lists.df)).distinct(), "pairs")
+    links = _linked(pairs.df, docs, nodes, "links").df
+    pairs.drop()
+
+    group = components(links)
+    degree = links.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n_links"))
     of_set = nodes.join(group.withColumnRenamed("node", "fp"), "fp", "left").join(degree, "fp", "left")
     of_set = of_set.withColumn("c", F.coalesce("component", "fp"))
     least = of_set.groupBy("c").agg(F.min("doc_id").alias("component_id"))

@@ -123,3 +123,21 @@ def test_a_subset_list_is_not_overwritten_by_an_inverted_one(spark, monkeypatch)
     want = brute_force(docs)
     assert [want[i] for i in (0, 1)] == [(80, 0), (100, 0)]
     assert got(ngram_jaccard.ngram_jaccard_groups(documents(spark, docs))) == want
+
+
+def test_links_within_a_group_are_all_counted(spark):
+    """Thirty near copies, most of which link to one another: as many links as brute force finds between different sets."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(60)]
+    docs = []
+    for i in range(30):
+        words = list(base)
+        words[i * 2 % 60] = f"own{i}"
+        docs.append((i, " ".join(words + [f"end{i}"] * (i % 2))))
+    docs.append((99, docs[3][1]))
+    docs += [(100 + i, " ".join(rng.choices(base, k=30))) for i in range(20)]
+    sets = {i: frozenset(shingles(t)) for i, t in docs}
+    different = set(sets.values())
+    want = {i: sum(s != o and 100 * len(s & o) >= 75 * len(s | o) for o in different) for i, s in sets.items()}
+    found = {r.doc_id: r.n_links for r in ngram_jaccard.ngram_jaccard_groups(documents(spark, docs)).collect()}
+    assert found == want and max(want.values()) > 10
