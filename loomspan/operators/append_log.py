@@ -6,6 +6,8 @@ Requests of an operation are judged in the order they came in.  Two steps keep m
 2. A request for a number that is taken is compared, by a join, with the event that took it: the same content and key is a
    replay, anything else a conflict.
 
+Both see of a request its hash and what it says of its place; its columns are read once, and what was judged is written once.
+
 An event's hash covers its content, its key and the status it led to.  A sequence is closed by a terminal status.
 """
 
@@ -19,8 +21,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import canonical_object, sha256
+from ..shared import written
 from .operations import TERMINAL, TRANSITIONS
-from .proposals import metadata_issues
+from .proposals import metadata_faults
 
 # How far ahead a time may be, and the components that send events.
 SKEW_US = 300_000_000
@@ -29,7 +32,8 @@ IDENTIFIER, OPAQUE, SHA256 = r"^[a-zA-Z0-9][a-zA-Z0-9._:/-]{7,127}\z", r"^[a-zA-
 OPERATION_TYPES = ("capture", "recapture", "pairing")
 ACCEPTED, REPLAYED, TAKEN = "accepted", "replayed", "taken"
 _CONTENT = ("operation_id", "correlation_id", "event_type", "event_sequence", "event_us", "source_component", "metadata", "schema_version", "idempotency_key")
-_JUDGED = "request_id string, outcome string, status string"
+STATUSES = tuple(dict.fromkeys(to for _, to in TRANSITIONS.values()))
+_JUDGED = "request_id string, outcome string, status string, operation_id string, event_sequence long, own binary, key string, meant string"
 
 
 def event_sha256(status: Column) -> Column:
@@ -43,14 +47,16 @@ def leads_to(event_type: Column) -> Column:
     return F.try_element_at(F.create_map(*pairs), event_type)
 
 
+def _form_error() -> Column:
+    """Why the form alone refuses a request, or null; the first that holds."""
+    return F.when(F.coalesce(F.col("event_sequence") < 1, F.lit(True)), "sequence_not_positive").when(~F.col("operation_id").rlike(IDENTIFIER) | ~F.col("correlation_id").rlike(IDENTIFIER), "identifier_malformed") \
+        .when(~F.col("event_type").isin(*TRANSITIONS), "event_type_unknown").when(~F.col("source_component").isin(*COMPONENTS), "component_unknown") \
+        .when(~F.col("idempotency_key").rlike(SHA256) | ~F.coalesce(F.col("submitted_sha256").rlike(SHA256), F.lit(True)), "hash_malformed").when(F.size(metadata_faults("metadata")) > 0, "metadata_unsafe")
+
+
 def append_errors(requests: DataFrame) -> DataFrame:
     """(request_id, error) of requests whose form alone refuses them; the first that holds."""
-    unsafe = metadata_issues(requests, "request_id", "metadata").select(F.col("record_id").alias("request_id"), F.lit(True).alias("unsafe")).distinct()
-    told = requests.join(unsafe, "request_id", "left")
-    error = F.when(F.coalesce(F.col("event_sequence") < 1, F.lit(True)), "sequence_not_positive").when(~F.col("operation_id").rlike(IDENTIFIER) | ~F.col("correlation_id").rlike(IDENTIFIER), "identifier_malformed") \
-        .when(~F.col("event_type").isin(*TRANSITIONS), "event_type_unknown").when(~F.col("source_component").isin(*COMPONENTS), "component_unknown") \
-        .when(~F.col("idempotency_key").rlike(SHA256) | ~F.coalesce(F.col("submitted_sha256").rlike(SHA256), F.lit(True)), "hash_malformed").when(F.col("unsafe"), "metadata_unsafe")
-    return told.select("request_id", error.alias("error")).where("error is not null")
+    return requests.select("request_id", _form_error().alias("error")).where("error is not null")
 
 
 def create_errors(requests: DataFrame) -> DataFrame:
@@ -67,9 +73,13 @@ def _next_in_line(now_us: int):
         operation, status, number, at = None, "", 0, None
         for frame in frames:
             rows = []
-            for own, request, event, n, us, matches in frame.itertuples(index=False):
-                if own != operation:
-                    operation, status, number, at = own, "", 0, None
+            for row in frame.itertuples(index=False, name=None):
+                owner, request, event, n, us, matches, error, own, key, meant = row
+                if owner != operation:
+                    operation, status, number, at = owner, "", 0, None
+                if error is not None:
+                    rows.append((request, error, None, None, None, None, None, None))
+                    continue
                 before, to = TRANSITIONS[event]
                 if n <= number:
                     outcome = TAKEN
@@ -87,8 +97,11 @@ def _next_in_line(now_us: int):
                     outcome = "future_time"
                 else:
                     outcome, status, number, at = ACCEPTED, to, n, us
-                rows.append((request, outcome, to if outcome == ACCEPTED else None))
-            yield pd.DataFrame(rows, columns=["request_id", "outcome", "status"])
+                kept = (owner, n, own, key) if outcome in (ACCEPTED, TAKEN) else (None,) * 4
+                rows.append((request, outcome, to if outcome == ACCEPTED else None, *kept, meant if outcome == TAKEN else None))
+            out = pd.DataFrame(rows, columns=[x.split(" ")[0] for x in _JUDGED.split(", ")])
+            out["event_sequence"] = out["event_sequence"].astype("Int64")
+            yield out
 
     return run
 
@@ -100,20 +113,23 @@ def appended(requests: DataFrame, operations: DataFrame, now_us: int, schema_ver
     of the event that was accepted, now or before; refused requests have none.
     """
     known = operations.select("operation_id", F.col("correlation_id").alias("_correlation"))
-    told = requests.join(append_errors(requests), "request_id", "left").join(known, "operation_id", "left")
-    told = told.withColumn("error", F.coalesce("error", F.when(F.col("schema_version") != schema_version, "schema_unsupported").when(F.col("_correlation").isNull(), "operation_unknown")
-                                               .when(F.col("_correlation") != F.col("correlation_id"), "correlation_mismatch"))).drop("_correlation")
-    sound = told.where("error is null").withColumn("own_sha256", event_sha256(leads_to(F.col("event_type"))))
-    matches = F.coalesce(F.col("submitted_sha256") == F.col("own_sha256"), F.lit(True))
-    line = sound.withColumn("matches", matches).repartition("operation_id").sortWithinPartitions("operation_id", "arrival", "request_id") \
-        .select("operation_id", "request_id", "event_type", "event_sequence", "event_us", "matches")
-    judged = sound.join(line.mapInPandas(_next_in_line(now_us), _JUDGED), "request_id")
-    taken_by = judged.where(F.col("outcome") == ACCEPTED).select("operation_id", "event_sequence", F.col("own_sha256").alias("old_sha256"), F.col("idempotency_key").alias("old_key"), F.col("status").alias("old_status"))
-    again = judged.where(F.col("outcome") == TAKEN).join(taken_by, ["operation_id", "event_sequence"]).withColumn("new_sha256", event_sha256(F.col("old_status")))
-    outcome = F.when(~F.coalesce(F.col("submitted_sha256") == F.col("new_sha256"), F.lit(True)), "hash_mismatch") \
-        .when((F.col("new_sha256") != F.col("old_sha256")) | (F.col("idempotency_key") != F.col("old_key")), "sequence_conflict").otherwise(REPLAYED)
+    own = event_sha256(leads_to(F.col("event_type")))
+    submitted = F.col("submitted_sha256")
+    # all that judging needs of a request: its content is its hash, and what it submitted is the status for which that is its hash
+    slim = requests.select(
+        "request_id", "arrival", "operation_id", "correlation_id", "event_type", "event_sequence", "event_us", "idempotency_key",
+        F.coalesce(_form_error(), F.when(F.col("schema_version") != schema_version, "schema_unsupported")).alias("error"),
+        F.unhex(own).alias("own"), F.coalesce(submitted == own, F.lit(True)).alias("matches"),
+        F.when(submitted.isNotNull(), F.coalesce(*(F.when(submitted == event_sha256(F.lit(s)), s) for s in STATUSES), F.lit(""))).alias("meant"))
+    told = slim.join(known, "operation_id", "left").withColumn("error", F.coalesce("error", F.when(F.col("_correlation").isNull(), "operation_unknown")
+                                                                                  .when(F.col("_correlation") != F.col("correlation_id"), "correlation_mismatch")))
+    line = told.repartition("operation_id").sortWithinPartitions("operation_id", "arrival", "request_id") \
+        .select("operation_id", "request_id", "event_type", *(F.when(F.col("error").isNull(), F.col(c)).otherwise(0).alias(c) for c in ("event_sequence", "event_us")), "matches", "error", "own", F.col("idempotency_key").alias("key"), "meant")
+    judged = written(line.mapInPandas(_next_in_line(now_us), _JUDGED), "judged")
+    taken_by = judged.where(F.col("outcome") == ACCEPTED).select("operation_id", "event_sequence", F.col("own").alias("old"), F.col("key").alias("old_key"), F.col("status").alias("old_status"))
+    again = judged.where(F.col("outcome") == TAKEN).drop("status").join(taken_by, ["operation_id", "event_sequence"])
+    outcome = F.when(~F.coalesce(F.col("meant") == F.col("old_status"), F.col("meant").isNull()), "hash_mismatch").when((F.col("own") != F.col("old")) | (F.col("key") != F.col("old_key")), "sequence_conflict").otherwise(REPLAYED)
     again = again.withColumn("outcome", outcome)
     replayed = F.col("outcome") == REPLAYED
-    refused = told.where("error is not null").select("request_id", F.col("error").alias("outcome"), F.lit(None).cast("string").alias("status"), F.lit(None).cast("string").alias("event_sha256"))
-    return refused.unionByName(judged.where(F.col("outcome") != TAKEN).select("request_id", "outcome", "status", F.when(F.col("outcome") == ACCEPTED, F.col("own_sha256")).alias("event_sha256"))) \
-        .unionByName(again.select("request_id", "outcome", F.when(replayed, F.col("old_status")).alias("status"), F.when(replayed, F.col("old_sha256")).alias("event_sha256")))
+    return judged.where(F.col("outcome") != TAKEN).select("request_id", "outcome", "status", F.when(F.col("outcome") == ACCEPTED, F.lower(F.hex("own"))).alias("event_sha256")) \
+        .unionByName(again.select("request_id", "outcome", F.when(replayed, F.col("old_status")).alias("status"), F.when(replayed, F.lower(F.hex("old"))).alias("event_sha256")))

@@ -89,25 +89,32 @@ LONGEST_TEXT, LARGEST_INTEGER = 240, 9_007_199_254_740_991
 
 def metadata_issues(events: DataFrame, key: str, metadata: str) -> DataFrame:
     """(code, record_id, message) of metadata, a JSON text; message is the key at fault.  Every rule that an entry breaks is told."""
-    parsed = events.select(F.col(key).alias("record_id"), F.try_variant_get(F.try_parse_json(metadata), "$", "map<string, variant>").alias("m"))
-    rows = parsed.select("record_id", F.explode("m").alias("k", "v")).withColumn("t", F.schema_of_variant("v"))
-    k, v, t = F.col("k"), F.col("v"), F.col("t")
-    text = F.when(t == "STRING", F.try_variant_get(v, "$", "string"))
-    number = F.when(t.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get(v, "$", "double"))
-    whole = F.coalesce((number == F.floor(number)) & number.between(0, LARGEST_INTEGER), F.lit(False))
-    hashed = F.coalesce(text.rlike("^[a-f0-9]{64}$"), F.lit(False))
-    codes = F.array_compact(F.array(
-        F.when(~k.isin(*METADATA_KEYS), "metadata_key_not_allowed"),
-        F.when(t.rlike("^(OBJECT|ARRAY)"), "metadata_value_not_scalar"),
-        F.when(k.isin(*NUMBER_KEYS) & ~whole, "metadata_number_required"),
-        F.when(k.isin(*BOOLEAN_KEYS) & (t != "BOOLEAN"), "metadata_boolean_required"),
-        F.when(k.isin(*HASH_KEYS) & ~hashed, "metadata_sha256_required"),
-        F.when((F.char_length(text) > LONGEST_TEXT) | text.rlike(r"[\x00-\x1f]"), "metadata_text_too_long"),
-        F.when(text.rlike(PRIVATE_PATH), "metadata_private_path"), F.when(text.rlike(ADDRESS), "metadata_address"), F.when(text.rlike(SENSITIVE), "metadata_sensitive")))
-    entries = rows.select(F.explode(codes).alias("code"), "record_id", k.alias("message"))
+    return events.select(F.col(key).alias("record_id"), F.explode(metadata_faults(metadata)).alias("c")).select("c.code", "record_id", "c.message")
+
+
+def metadata_faults(metadata: str) -> Column:
+    """An array of (code, message) of a metadata text, row by row."""
+    m = F.try_variant_get(F.try_parse_json(metadata), "$", "map<string, variant>")
+
+    def entry(e: Column) -> Column:
+        k, v = e["key"], e["value"]
+        t = F.schema_of_variant(v)
+        text = F.when(t == "STRING", F.try_variant_get(v, "$", "string"))
+        number = F.when(t.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get(v, "$", "double"))
+        whole = F.coalesce((number == F.floor(number)) & number.between(0, LARGEST_INTEGER), F.lit(False))
+        hashed = F.coalesce(text.rlike("^[a-f0-9]{64}$"), F.lit(False))
+        codes = F.array_compact(F.array(
+            F.when(~k.isin(*METADATA_KEYS), "metadata_key_not_allowed"),
+            F.when(t.rlike("^(OBJECT|ARRAY)"), "metadata_value_not_scalar"),
+            F.when(k.isin(*NUMBER_KEYS) & ~whole, "metadata_number_required"),
+            F.when(k.isin(*BOOLEAN_KEYS) & (t != "BOOLEAN"), "metadata_boolean_required"),
+            F.when(k.isin(*HASH_KEYS) & ~hashed, "metadata_sha256_required"),
+            F.when((F.char_length(text) > LONGEST_TEXT) | text.rlike(r"[\x00-\x1f]"), "metadata_text_too_long"),
+            F.when(text.rlike(PRIVATE_PATH), "metadata_private_path"), F.when(text.rlike(ADDRESS), "metadata_address"), F.when(text.rlike(SENSITIVE), "metadata_sensitive")))
+        return F.transform(codes, lambda c: F.struct(c.alias("code"), k.alias("message")))
 
     def said(name: str) -> Column:
-        return F.try_element_at("m", F.lit(name))
+        return F.try_element_at(m, F.lit(name))
 
     def told(name: str) -> Column:
         return F.when(F.schema_of_variant(said(name)) == "STRING", F.try_variant_get(said(name), "$", "string"))
@@ -120,7 +127,7 @@ def metadata_issues(events: DataFrame, key: str, metadata: str) -> DataFrame:
         return F.when(condition, F.struct(F.lit(code).alias("code"), F.lit(at).alias("message")))
 
     whole_codes = F.array_compact(F.array(
-        fault(F.col("m").isNull(), "metadata_not_an_object", ""), fault(has_code & expected.isNull(), "error_code_not_allowed", "safe_error_code"),
+        fault(m.isNull(), "metadata_not_an_object", ""), fault(has_code & expected.isNull(), "error_code_not_allowed", "safe_error_code"),
         fault(has_code & expected.isNotNull() & has_summary & ~expected.eqNullSafe(told("safe_error_summary")), "error_summary_differs", "safe_error_summary"),
         fault(~has_code & has_summary, "error_summary_without_code", "safe_error_summary")))
-    return entries.unionByName(parsed.select(F.explode(whole_codes).alias("c"), "record_id").select("c.code", "record_id", "c.message"))
+    return F.concat(F.coalesce(F.flatten(F.transform(F.map_entries(m), entry)), F.array().cast("array<struct<code: string, message: string>>")), whole_codes)

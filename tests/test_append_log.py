@@ -81,3 +81,13 @@ def test_requests_for_new_operations(spark):
     found = {r.request_id: r.error for r in log.create_errors(spark.createDataFrame(rows, schema)).collect()}
     assert "g" not in found and [found[str(i)] for i in range(len(bad))] == [
         "identifier_malformed", "reference_not_opaque", "reference_not_opaque", "reference_not_opaque", "operation_type_unknown", "operation_type_unknown", "component_unknown", "identifier_malformed", "retries_itself", "identifier_malformed"]
+
+
+def test_requests_are_shuffled_once_and_narrow(spark):
+    """What is read back was judged once: metadata and schema are looked at before any shuffle, and no plan reads a request again."""
+    operations = spark.createDataFrame([("operation_1", "correlation_1")], "operation_id string, correlation_id string")
+    rows = [request(i, e, n) for i, (e, n) in enumerate(OPEN)] + [request(9, n=1), request(10, n=None, us=5), request(11, n=2, event="pairing_requested", submitted_sha256="c" * 64)]
+    found = log.appended(spark.createDataFrame(rows, REQUESTS), operations, 1_000, "v1")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "metadata" not in plan and "MapInPandas" not in plan
+    assert {r.request_id: r.outcome for r in found.collect()} == {"r0": "accepted", "r1": "accepted", "r2": "accepted", "r9": "replayed", "r10": "sequence_not_positive", "r11": "hash_mismatch"}
