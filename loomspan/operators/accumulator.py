@@ -21,6 +21,7 @@ message more than once.  Equal times count once.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -31,15 +32,13 @@ from ..shared import written
 CYCLE = "ordering_cycle"
 
 
-def _kahn(rows: pd.DataFrame) -> pd.DataFrame:
-    """(conversation_id, run, position) of a block; runs that no order reaches have none."""
-    runs = rows["run"].tolist()
-    after = {r: [int(x) for x in a] for r, a in zip(runs, rows["after"])}
-    waits = dict.fromkeys(runs, 0)
+def _placed(after: dict[int, list[int]]) -> dict[int, int]:
+    """The place of every run of a block that an order reaches; after tells what follows each, in order of the runs."""
+    waits = dict.fromkeys(after, 0)
     for a in after.values():
         for r in a:
             waits[r] += 1
-    ready = [r for r in runs if waits[r] == 0]
+    ready = [r for r in after if waits[r] == 0]
     heapq.heapify(ready)
     place: dict[int, int] = {}
     while ready:
@@ -49,7 +48,31 @@ def _kahn(rows: pd.DataFrame) -> pd.DataFrame:
             waits[x] -= 1
             if waits[x] == 0:
                 heapq.heappush(ready, x)
-    return pd.DataFrame({"conversation_id": rows["conversation_id"], "run": runs, "position": pd.array([place.get(r) for r in runs], "Int64")})
+    return place
+
+
+def _kahn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(conversation_id, run, position) of blocks in a sorted stream, one block at a time; runs that no order reaches have none."""
+    block, after = None, {}
+
+    def told() -> list[tuple]:
+        place = _placed(after)
+        return [(block[0], r, place.get(r)) for r in after]
+
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=["conversation_id", "run", "position"])
+        out["position"] = out["position"].astype("Int64")
+        return out
+
+    for batch in frames:
+        rows = []
+        for c, k, r, a in zip(batch["conversation_id"], batch["block"].tolist(), batch["run"].tolist(), batch["after"]):
+            if block != (c, k):
+                rows += told() if after else []
+                block, after = (c, k), {}
+            after[r] = [int(x) for x in a]
+        yield frame(rows)
+    yield frame(told() if after else [])
 
 
 def numbered(views: DataFrame) -> DataFrame:
@@ -115,7 +138,7 @@ def ordered(views: DataFrame) -> DataFrame:
     mixed = between.where("before >= after").select("conversation_id", F.col("after").alias("run")).distinct().join(blocks, ["conversation_id", "run"]).select("conversation_id", "block").distinct()
     placed = blocks.join(mixed, ["conversation_id", "block"]).join(inside, ["conversation_id", "run"], "left") \
         .select("conversation_id", "block", "run", F.coalesce("after", F.array().cast("array<bigint>")).alias("after")) \
-        .groupBy("conversation_id", "block").applyInPandas(_kahn, "conversation_id string, run long, position long")
+        .repartition("conversation_id", "block").sortWithinPartitions("conversation_id", "block", "run").mapInPandas(_kahn, "conversation_id string, run long, position long")
     placed = written(placed, "placed")
     stuck = _beyond(between, placed.where("position is null").select("conversation_id", "run"))
     known = run_of.join(blocks, ["conversation_id", "run"]).join(placed, ["conversation_id", "run"], "left") \

@@ -1,5 +1,6 @@
 import random
 
+import pandas as pd
 import pytest
 
 from loomspan.operators import accumulator
@@ -106,3 +107,11 @@ def test_times_and_drift(spark):
 
 def test_empty(spark):
     assert accumulator.accumulated(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_blocks_are_ordered_in_one_stream():
+    """A block goes on in the next batch of rows; the next block's runs have numbers of their own."""
+    rows = [("a", 0, 0, [2]), ("a", 0, 2, [1]), ("a", 0, 1, []), ("a", 5, 5, [6]), ("a", 5, 6, [5]), ("b", 0, 0, [])]
+    frames = [pd.DataFrame(part, columns=["conversation_id", "block", "run", "after"]) for part in (rows[:2], rows[2:4], rows[4:])]
+    found = [(c, r, None if pd.isna(p) else p) for f in accumulator._kahn(iter(frames)) for c, r, p in f.itertuples(index=False)]
+    assert found == [("a", 0, 0), ("a", 2, 1), ("a", 1, 2), ("a", 5, None), ("a", 6, None), ("b", 0, 0)]
