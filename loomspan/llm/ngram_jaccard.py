@@ -17,7 +17,11 @@ The boundary is where enumerating subsets starts to cost more than scanning
 lists of the mean length that the shingle counts foretell.  Equal sets are one
 node throughout.  A list longer than `SHORT` first links its members to their
 neighbours and to the list's first; lists of one kind with the same first are then one, and
-their members are compared pair by pair, so that no link within a group is left out.  Every candidate is verified on whole sets.
+only members that are still in different groups are compared pair by pair.  Every candidate is verified on whole sets.
+
+All links of a set lie in its group.  They are counted there without a row for each: a group is dealt into
+blocks of bounded size, every two blocks meet in a task, and what all their sets share is counted at once in
+a matrix, frequent shingles by a product and the others list by list.
 
 Empty and null texts have no shingles and link with nothing.  Rows without a
 doc_id cannot be named by a link and are left out.  Rows that repeat a doc_id
@@ -35,7 +39,7 @@ from pyspark.sql import functions as F
 
 from . import bitmap
 from .arrowtext import batch_words, chunks, mix, signed
-from .components import components
+from .components import components, joined
 from .scratch import Table, small_batches
 
 WORDS = 5
@@ -43,6 +47,10 @@ WORDS = 5
 NUM, DEN = 3, 4
 #: Lists up to this length give all their pairs at once.
 SHORT = 6
+#: Sets and shingles of a block (on average) within which links are counted.
+BLOCK_SETS, BLOCK_SHINGLES = 4096, 1_000_000
+#: A shingle that this share of all pairs of two blocks hold is counted by a matrix product; columns of one product; pairs listed at once.
+_DENSE, _COLUMNS, _LISTED = 1 / 200, 2048, 4_000_000
 #: Shingles counted together, and the count there from which one is told to the others.
 COUNT_BLOCK, COUNT_TOLD = 4_000_000, 3
 #: Total told count from which a shingle is frequent; bits of the bitmap of frequent shingles.
@@ -247,14 +255,14 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from flush(True)
 
 
-def _within(lists: DataFrame) -> DataFrame:
-    """Pairs (a, b) of members of long lists that may link there: a join, which Spark splits where a list is very long."""
-    parts = lists.select("key", "fp", F.shiftright("place", _ROLE_BITS + _SIZE_BITS).alias("r"),
+def _across(lists: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members of long lists that lie in different groups and may link there: a join, which Spark splits where a list is very long."""
+    parts = lists.select("key", "fp", "g", F.shiftright("place", _ROLE_BITS + _SIZE_BITS).alias("r"),
                          F.shiftright("place", _ROLE_BITS).bitwiseAND((1 << _SIZE_BITS) - 1).alias("n"), F.col("place").bitwiseAND(3).alias("role"))
     one, two = (parts.select(*[F.col(c).alias(c + end) for c in parts.columns]) for end in "12")
-    may = (F.col("fp1") < F.col("fp2")) & ((F.col("role1") != 1) | (F.col("role2") != 1)) & \
+    may = (F.col("g1") < F.col("g2")) & ((F.col("role1") != 1) | (F.col("role2") != 1)) & \
         (F.least(F.col("n1") - F.col("r1"), F.col("n2") - F.col("r2")) * (NUM + DEN) >= NUM * (F.col("n1") + F.col("n2")))
-    return one.join(two, (F.col("key1") == F.col("key2")) & may).select(F.col("fp1").alias("a"), F.col("fp2").alias("b"))
+    return one.join(two, (F.col("key1") == F.col("key2")) & may).select(F.least("fp1", "fp2").alias("a"), F.greatest("fp1", "fp2").alias("b")).distinct()
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,6 +336,99 @@ def _linked(pairs: DataFrame, documents: DataFrame, nodes: DataFrame, name: str)
     return links
 
 
+def overlaps(x: np.ndarray, rows_x: np.ndarray, y: np.ndarray, rows_y: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
+    """How many shingles each set of one block (shingles x of sets rows_x) shares with each of another, as a matrix of this shape."""
+    tokens, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+    at_x, at_y = at[:len(x)], at[len(x):]
+    in_x, in_y = (np.bincount(a, minlength=len(tokens)) for a in (at_x, at_y))
+    held = in_x * in_y
+    often = held > max(shape[0] * shape[1] * _DENSE, 1)
+    out = np.zeros(shape, np.float32)  # exact up to 2**24 shingles
+    place = np.cumsum(often) - 1
+    dense = [(place[a[often[a]]], rows[often[a]]) for a, rows in ((at_x, rows_x), (at_y, rows_y))]
+    for low in range(0, int(often.sum()), _COLUMNS):
+        two = []
+        for (columns, rows), n in zip(dense, shape):
+            here = (columns >= low) & (columns < low + _COLUMNS)
+            m = np.zeros((n, _COLUMNS), np.float32)
+            m[rows[here], columns[here] - low] = 1
+            two.append(m)
+        out += two[0] @ two[1].T
+    few = (held > 0) & ~often
+    order_x, order_y = (np.argsort(a, kind="stable") for a in (at_x, at_y))
+    first_x, first_y = (np.concatenate([[0], np.cumsum(n)]) for n in (in_x, in_y))
+    # each posting of x in a list meets the whole list of y
+    posts = order_x[few[at_x[order_x]]]
+    met = in_y[at_x[posts]]
+    part = np.cumsum(met) // _LISTED
+    flat = out.reshape(-1)
+    for k in np.unique(part):
+        those = posts[part == k]
+        n = in_y[at_x[those]]
+        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        other = rows_y[order_y[np.repeat(first_y[at_x[those]], n) + inside]]
+        np.add.at(flat, np.repeat(rows_x[those], n) * shape[1] + other, np.float32(1))
+    return out
+
+
+def _block_links(rows: pa.Table) -> pa.RecordBatch:
+    """(fp, n_links) of the sets of two blocks, or of one that meets itself: links between them."""
+    low, own = rows["low"][0].as_py(), rows["own"].to_numpy()
+    alone = rows["high"][0].as_py() == low
+    raw = rows["s"].to_pylist()
+    sides = [np.flatnonzero(own == low)] if alone else [np.flatnonzero(own == low), np.flatnonzero(own != low)]
+    sets = []
+    for side in sides:
+        n = np.array([len(raw[i]) // 8 for i in side], np.int64)
+        sets.append((np.frombuffer(b"".join(raw[i] for i in side), np.uint64), np.repeat(np.arange(len(side)), n), n))
+    (x, rows_x, nx), (y, rows_y, ny) = sets[0], sets[-1]
+    shared = overlaps(x, rows_x, y, rows_y, (len(nx), len(ny)))
+    links = [np.zeros(len(n), np.int64) for n in (nx, ny)]
+    for at in range(0, len(nx), 256):
+        linked = shared[at:at + 256].astype(np.int64) * (NUM + DEN) >= NUM * (nx[at:at + 256, None] + ny[None, :])
+        links[0][at:at + 256] = linked.sum(1) - alone  # a set is no link of its own
+        links[1] += linked.sum(0)
+    fp = rows["fp"].to_numpy()
+    return _batch(fp=np.concatenate([fp[side] for side in sides]), n_links=np.concatenate(links[:len(sides)]))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of every (component, low, high) of rows sorted by them; one of them is held at a time."""
+    held: list[pa.RecordBatch] = []
+    now = None
+    for batch in batches:
+        keys = np.stack([batch.column(i).to_numpy() for i in range(3)], 1)
+        ends = np.r_[np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, len(keys)] if len(keys) else []
+        at = 0
+        for end in ends:
+            key = tuple(keys[at])
+            if key != now and held:
+                yield _block_links(pa.Table.from_batches(held))
+                held = []
+            now = key
+            held.append(batch.slice(at, end - at))
+            at = end
+    if held:
+        yield _block_links(pa.Table.from_batches(held))
+
+
+def _degrees(group: DataFrame, documents: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(fp, n_links) of every set in a group (node, component); a link is never a row."""
+    members = nodes.join(group.withColumnRenamed("node", "fp"), "fp")
+    of = members.groupBy("component").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
+    blocks = F.ceil(F.greatest(F.col("sets") / BLOCK_SETS, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    dealt = Table(members.join(of, "component").select("fp", "doc_id", "component", "sets", blocks.alias("blocks")), "members")
+    large = dealt.df.where("sets > 2")
+    texts = bitmap.keep(documents, "doc_id", bitmap.build(large, "doc_id", CANDIDATE_BITS), CANDIDATE_BITS)
+    made = texts.mapInArrow(_sets, "fp long, s binary").join(large.select("fp", "component", "blocks"), "fp").dropDuplicates(["fp"])
+    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    met = made.select("component", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "fp", "s")
+    met = met.select("component", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "fp", "s")
+    key = ("component", "low", "high")
+    counted = met.repartition(*key).sortWithinPartitions(*key).mapInArrow(_blocks, "fp long, n_links long")
+    return counted.groupBy("fp").agg(F.sum("n_links").alias("n_links")).unionByName(dealt.df.where("sets = 2").select("fp", F.lit(1).cast("long").alias("n_links")))
+
+
 def ngram_jaccard_groups(documents: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) of every row with a doc_id.
 
@@ -339,7 +440,7 @@ def ngram_jaccard_groups(documents: DataFrame) -> DataFrame:
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     counted = Table(docs.mapInArrow(_count, "kind int, a long, b long, n long"), "counted")
     found = counted.df.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("fp"), "n")
-    nodes = found.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
+    nodes = found.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
 
     sums = counted.df.where("kind = 2").agg(F.sum("a").alias("squares"), F.sum("n").alias("total")).first()
     light = boundary((sums["squares"] or 0) / (sums["total"] or 1))
@@ -351,16 +452,24 @@ def ngram_jaccard_groups(documents: DataFrame) -> DataFrame:
     postings = docs.select("text", "doc_id").mapInArrow(_post(light, frequent), "key long, fp long, place long")
     scanned = Table(postings.repartition("key").sortWithinPartitions("key", "place", "fp")
                     .mapInArrow(_scan, "kind byte, a long, b long, place long"), "scanned")
+    pairs = Table(scanned.df.where("kind = 0").select("a", "b").distinct(), "pairs")
+    links = _linked(pairs.df, docs, nodes, "links")
+    first = components(links.df)
+
+    groups = F.coalesce("component", "fp").alias("g")
     # lists of one kind (subsets or inverted) with the same first set are one from here on, as near copies share many lists;
     # each member keeps its least place, which within one kind has one role
     kind = F.struct(F.col("b").alias("first"), (F.col("place").bitwiseAND(3) == 0).alias("subset"))
-    lists = Table(scanned.df.where("kind = 1").groupBy(kind.alias("key"), F.col("a").alias("fp")).agg(F.min("place").alias("place")), "lists")
-    pairs = Table(scanned.df.where("kind = 0").select("a", "b").unionByName(_within(lists.df)).distinct(), "pairs")
-    links = _linked(pairs.df, docs, nodes, "links").df
-    pairs.drop()
-
-    group = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n_links"))
+    open_lists = scanned.df.where("kind = 1").groupBy(kind.alias("key"), F.col("a").alias("fp")).agg(F.min("place").alias("place")) \
+        .join(first.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", "place", groups)
+    mixed = open_lists.groupBy("key").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("key")
+    lists = Table(open_lists.join(mixed, "key", "left_semi"), "lists")
+    cross = _across(lists.df).join(pairs.df, ["a", "b"], "left_anti")
+    cross = Table(cross, "cross")
+    further = _linked(cross.df, docs, nodes, "links").df
+
+    group = Table(components(joined(first, further)), "groups").df
+    degree = _degrees(group, docs, nodes)
     of_set = nodes.join(group.withColumnRenamed("node", "fp"), "fp", "left").join(degree, "fp", "left")
     of_set = of_set.withColumn("c", F.coalesce("component", "fp"))
     least = of_set.groupBy("c").agg(F.min("doc_id").alias("component_id"))

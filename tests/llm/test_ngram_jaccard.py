@@ -141,3 +141,43 @@ def test_links_within_a_group_are_all_counted(spark):
     want = {i: sum(s != o and 100 * len(s & o) >= 75 * len(s | o) for o in different) for i, s in sets.items()}
     found = {r.doc_id: r.n_links for r in ngram_jaccard.ngram_jaccard_groups(documents(spark, docs)).collect()}
     assert found == want and max(want.values()) > 10
+
+
+def near_copies(rng, n):
+    """Texts of one base of 200 words with a word of their own in one or two places: all of them link to one another."""
+    base = [f"w{i}" for i in range(200)]
+    docs = []
+    for i in range(n):
+        words = list(base)
+        for at in rng.sample(range(200), 1 + (i % 3 > 0)):
+            words[at] = f"own{i}x{at}"
+        docs.append((i, " ".join(words)))
+    return docs
+
+
+def test_links_of_a_group_are_counted_without_a_row_for_each(spark, monkeypatch):
+    """Blocks of a few sets give the counts of brute force, and the pairs that are verified one by one grow with the sets, not with their square."""
+    monkeypatch.setattr(ngram_jaccard, "BLOCK_SETS", 20)
+    verified, linked = [], ngram_jaccard._linked
+
+    def counting(pairs, *rest):
+        verified.append(pairs.count())
+        return linked(pairs, *rest)
+
+    monkeypatch.setattr(ngram_jaccard, "_linked", counting)
+    docs = near_copies(random.Random(3), 90)
+    sets = {i: frozenset(shingles(t)) for i, t in docs}
+    want = {i: sum(i != j and 100 * len(s & o) >= 75 * len(s | o) for j, o in sets.items()) for i, s in sets.items()}
+    assert {r.doc_id: r.n_links for r in ngram_jaccard.ngram_jaccard_groups(documents(spark, docs)).collect()} == want
+    assert sum(want.values()) // 2 > 1500 and sum(verified) < 12 * len(docs)
+
+
+@pytest.mark.parametrize("dense", [1 / 200, 0, 2])
+def test_overlaps_of_blocks_equal_set_intersections(monkeypatch, dense):
+    monkeypatch.setattr(ngram_jaccard, "_DENSE", dense)
+    monkeypatch.setattr(ngram_jaccard, "_LISTED", 50)
+    monkeypatch.setattr(ngram_jaccard, "_COLUMNS", 16)
+    rng = np.random.default_rng(1)
+    sides = [[np.unique(rng.integers(0, 300, rng.integers(0, 60))).astype(np.uint64) for _ in range(n)] for n in (13, 7)]
+    x, y = ((np.concatenate(s), np.repeat(np.arange(len(s)), [len(v) for v in s])) for s in sides)
+    assert ngram_jaccard.overlaps(*x, *y, (13, 7)).tolist() == [[len(np.intersect1d(a, b)) for b in sides[1]] for a in sides[0]]
