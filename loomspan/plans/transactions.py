@@ -175,5 +175,5 @@ def ensured_workspaces(b: Bundle):
     for batch in (1, 2):
         name = F.when(F.col("k") == 9, F.lit(" padded")).otherwise(F.lit(f"name {batch}"))
         outcomes = workspaces.ensure(store, f"batch:{batch}", asked.withColumn("name", name).drop("k"))
-        told.append(written(outcomes.select(F.lit(batch).alias("batch"), "request_id", "name", "created", "error"), "ensured"))
+        told.append(outcomes.select(F.lit(batch).alias("batch"), "request_id", "name", "created", "error"))
     return union(*told)

@@ -1,5 +1,7 @@
 import threading
 
+from pyspark.sql import functions as F
+
 from loomspan.operators import workspaces
 from loomspan.sinks.versions import Store
 
@@ -44,3 +46,18 @@ def test_equal_requests_at_once_make_one(spark, tmp_path):
     [t.join() for t in threads]
     rows = store.table("workspaces").collect()
     assert len(rows) == 1 and store.broken().isEmpty() and {x[0] for x in found.values()} == {rows[0].name}
+
+
+def test_outcomes_are_computed_once(spark, tmp_path):
+    """The requests' names are computed for the first of each key, whose filter takes them once more, and for the outcomes, but not again for the rows that are stored."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def name(place):
+        seen.add(1)
+        return f"name {place}"
+
+    requests = asked(spark, *((KEY + str(i % 2), "x") for i in range(6))).withColumn("name", F.udf(name)("place"))
+    store = Store(spark, f"file://{tmp_path}/s")
+    outcomes = workspaces.ensure(store, "t", requests)
+    assert [x[:3] for x in told(outcomes)] == [(f"name {i % 2}", "active", i < 2) for i in range(6)]
+    assert seen.value <= 3 * 6 and store.table("workspaces").count() == 2
