@@ -109,8 +109,8 @@ def discovery_output_issues(b: Bundle):
 JOIN (SELECT conversation_id, count(*) n FROM edges GROUP BY 1) e ON e.conversation_id = r.conversation_id LEFT JOIN (SELECT conversation_id, count(*) n FROM bad GROUP BY 1) x ON x.conversation_id = r.conversation_id""", FOUND)
 def persisted_discovery(b: Bundle):
     """An output with any issue is rejected whole; the others are persisted in one transaction, and a second time as a replay."""
-    told = dict(zip(("observations", "edges", "links"), _discovered(b)))
-    found = discovery_issues(b, *told.values()).groupBy(F.col("message").alias("conversation_id")).agg(F.count("*").alias("issues"))
+    told = {name: written(df, name) for name, df in zip(("observations", "edges", "links"), _discovered(b))}
+    found = written(discovery_issues(b, *told.values()).groupBy(F.col("message").alias("conversation_id")).agg(F.count("*").alias("issues")), "issues")
     store = _store(b, "discovery")
     accepted = {name: df.join(found, "conversation_id", "left_anti") for name, df in told.items()}
     outcomes = ",".join(store.write("discovery", accepted).outcome for _ in range(2))

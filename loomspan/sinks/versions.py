@@ -60,6 +60,11 @@ def rows_digest(df: DataFrame) -> tuple[int, str]:
     return row.n, str(row.h or 0)
 
 
+def _content(told) -> str:
+    """The hash of what (table, rows, digest) tell of a transaction."""
+    return hashlib.sha256(json.dumps(sorted(told)).encode()).hexdigest()
+
+
 def create_once(uri: str, data: bytes) -> bool:
     """Whether this call created the file; its content is there at once or not at all."""
     system, path = fs.FileSystem.from_uri(uri)
@@ -125,10 +130,9 @@ class Store:
 
     def commit(self, transaction_id: str, parts: list[Part], base: int | None = None, dry_run: bool = False) -> Outcome:
         """Make staged parts of any number of tables visible together."""
-        told = json.dumps(sorted((p.table, p.rows, p.digest) for p in parts))
-        content = hashlib.sha256(told.encode()).hexdigest()
+        content = _content((p.table, p.rows, p.digest) for p in parts)
         while True:
-            prior = self.journal().where(F.col("transaction_id") == transaction_id).first()
+            prior = self._prior(transaction_id)
             if prior:
                 return Outcome(REPLAYED if prior.content_sha256 == content else COLLISION, prior.version)
             newest = self.version()
@@ -141,11 +145,19 @@ class Store:
             if create_once(self._entry(newest + 1), json.dumps(entry).encode()):
                 return Outcome(COMMITTED, newest + 1)
 
+    def _prior(self, transaction_id: str):
+        """The entry of a transaction, or None."""
+        return self.journal().where(F.col("transaction_id") == transaction_id).first()
+
     def _sha(self, version: int) -> str:
         return file_sha256(*fs.FileSystem.from_uri(self._entry(version))) if version else ""
 
     def write(self, transaction_id: str, tables: dict[str, DataFrame], base: int | None = None, dry_run: bool = False) -> Outcome:
-        """Stage and commit."""
+        """Stage and commit; rows of a transaction that is there already are only compared with it, as none of them would become visible."""
+        prior = self._prior(transaction_id)
+        if prior:
+            content = _content((name, *rows_digest(df)) for name, df in tables.items())
+            return Outcome(REPLAYED if prior.content_sha256 == content else COLLISION, prior.version)
         return self.commit(transaction_id, [self.stage(df, name) for name, df in tables.items()], base, dry_run)
 
     def table(self, name: str, version: int | None = None) -> DataFrame:

@@ -126,3 +126,11 @@ def test_ingestion_resumes_with_every_chunk_once(spark, store, tmp_path, stop):
     run()
     assert ids(store.table("rows")) == list(range(40)) and store.version() == 4
     assert sorted(r.n for r in store.table("progress").collect()) == [10] * 4 and store.broken().collect() == []
+
+
+def test_replays_and_collisions_stage_nothing(spark, store, tmp_path):
+    assert store.write("t", {"a": rows(spark, 1, 2)}).outcome == COMMITTED
+    assert store.write("t", {"a": rows(spark, 2, 1)}) == versions.Outcome(REPLAYED, 1)
+    assert store.write("t", {"a": rows(spark, 2, 3)}) == versions.Outcome(COLLISION, 1)
+    assert store.write("t", {"b": rows(spark, 1, 2)}).outcome == COLLISION
+    assert len(list((tmp_path / "store" / "data").glob("*/*"))) == 1 and ids(store.table("a")) == [1, 2]
